@@ -52,3 +52,23 @@ def ranges(df: DataFrame, keys: Sequence[str], bucket: str, partitions: int, nam
     The ranges come from a sample, so the numbering is only fixed once written.
     """
     return materialize(df.repartitionByRange(partitions, *keys).withColumn(bucket, F.spark_partition_id()), name)
+
+
+def place_by_key(df: DataFrame, by: Sequence[str], key: str, place: str = "place", size: str = "list_size", partitions: int | None = None) -> DataFrame:
+    """Competition rank (1, 2, 2, 4) of each row in its group by ascending ``key``, and the group's number of rows.
+
+    Rows are first counted by (group, key), so equal keys cost one row; the counted keys are cut
+    into ranges, summed within a range and shifted by the ranges before. A group of any size is
+    thus ranked by many tasks.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
+    cut = ranges(counted, [*by, key], "_range", parts, "places")
+    totals = cut.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = totals.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"), F.sum("_sum").over(W.partitionBy(*by)).alias(size))
+    inside = W.partitionBy(*by, "_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    placed = cut.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    placed = placed.join(shifts, [*by, "_range"]).select(*by, key, (F.col("_shift") + F.col("_in") + 1).cast("long").alias(place), size)
+    return df.join(placed, [*by, key])
