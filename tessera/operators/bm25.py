@@ -38,13 +38,14 @@ class Index:
 def build_index(rows: DataFrame, doc: str = "chunk_id", fields: list[str] | None = None, stem: bool = True) -> Index:
     """Index of string fields. With ``stem`` words are folded and stemmed in an Arrow pass; without, JVM expressions take plain words.
 
-    Documents with a null id are left out; null fields are empty. Ids should be unique: repeated ids
-    would be one longer document, so exact repeats are dropped first.
+    Documents with a null id are left out; null fields are empty. Of several rows of an id the greatest
+    (field by field, in the order of ``fields``) counts.
     """
     fields = list(fields or WEIGHTS)
     kinds = dict(rows.dtypes)
     text = lambda f: F.array_join(f, " > ") if kinds[f].startswith("array") else F.col(f).cast("string")
-    source = rows.where(F.col(doc).isNotNull()).select(doc, *[text(f).alias(f) for f in fields]).dropDuplicates([doc])
+    texts = F.struct(*[F.coalesce(text(f), F.lit("")).alias(f) for f in fields])
+    source = rows.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.max(texts).alias("_t")).select(doc, "_t.*")
     if stem:
         return Index(analysis.analyze(source, [doc], fields), doc, fields)
     return Index(source.select(doc, *[analysis.plain_words(f).alias(f) for f in fields]), doc, fields)

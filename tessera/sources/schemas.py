@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGES = T.StructType().add("url", "string").add("title", "string").add("source", "string").add("version", "string").add("fetched_at", "string").add("n_chunks", "int").add("canonical_url", "string").add("status", "string")
+PAGES = T.StructType().add("url", "string").add("title", "string").add("source", "string").add("version", "string").add("fetched_at", "string").add("n_chunks", "integer").add("canonical_url", "string").add("status", "string")
 CHUNKS = (
     T.StructType().add("chunk_id", "string").add("url", "string").add("anchor", "string").add("title", "string").add("heading_path", T.ArrayType(T.StringType()))
-    .add("ordinal", "int").add("text", "string").add("n_tokens", "int").add("content_hash", "string").add("load_seq", "long")
+    .add("ordinal", "integer").add("text", "string").add("n_tokens", "integer").add("content_hash", "string").add("load_seq", "long")
 )
 #: What a column that a table lacks is filled with; others become null.
 FILL = {"canonical_url": "", "status": "ok", "load_seq": 0}
