@@ -120,12 +120,12 @@ def parse_verdicts(raw: str | Column, claims: str | Column, k: str | Column) ->
         number = F.try_variant_get(x, "$.claim", "int")
         passage = F.try_variant_get(x, "$.passage", "variant")
         at = F.when(_kind(passage) == "BIGINT", F.try_variant_get(x, "$.passage", "int"))
-        return F.struct(number.alias("n"), F.coalesce(truth(F.try_variant_get(x, "$.supported", "variant")), F.lit(False)).alias("supported"), F.when((at >= 1) & (at <= _c(k)), at).alias("passage"))
+        return F.named_struct(F.lit("n"), number, F.lit("supported"), F.coalesce(truth(F.try_variant_get(x, "$.supported", "variant")), F.lit(False)), F.lit("passage"), F.when((at >= 1) & (at <= _c(k)), at))
 
     rows = F.transform(F.filter(items, lambda x: _kind(x).startswith("OBJECT")), one)
 
     def aligned(claim: Column, i: Column) -> Column:
         first = F.get(F.filter(rows, lambda r: r["n"] == i + 1), F.lit(0))
-        return F.struct(claim.alias("claim"), F.coalesce(first["supported"], F.lit(False)).alias("supported"), first["passage"].alias("passage"), first.isNotNull().alias("judged"))
+        return F.named_struct(F.lit("claim"), claim, F.lit("supported"), F.coalesce(first["supported"], F.lit(False)), F.lit("passage"), first["passage"], F.lit("judged"), first.isNotNull())
 
     return F.transform(_c(claims), aligned)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.analysis import plain_words
 from ..functions.text import embedding_text
 from ..plans.ranking import top_n
 from ..plans.shared import materialize
@@ -32,17 +31,16 @@ Encoder = Callable[[pd.Series, bool], "pd.Series"]
 def encode(rows: DataFrame, encoder: Encoder | None = None, title: str = "title", path: str = "heading_path", text: str = "text", item: str = "chunk_id", is_query: bool = False) -> DataFrame:
     """item, vec: the vector at length 1 of every row's title, headings and text.
 
-    Without an encoder the hashing stand-in is used, in JVM expressions. An encoder runs in Arrow batches.
+    The encoder runs in Arrow batches; the default is the hashing stand-in.
     """
     full = rows.select(item, embedding_text(title, path, text).alias("full"))
-    if encoder is None:
-        return full.select(item, vectors.hash_embedding(plain_words("full")).cast("array<float>").alias("vec"))
+    encoder = encoder or vectors.hash_vectors
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return encoder(texts, is_query)
 
-    return full.select(item, vectors.normalized(run("full")).cast("array<float>").alias("vec"))
+    return full.select(item, run("full").alias("vec")).select(item, vectors.normalized("vec").cast("array<float>").alias("vec"))
 
 
 def index_stats(index: DataFrame, dim: int) -> DataFrame:

@@ -45,9 +45,9 @@ def latency_table(timings: DataFrame, by: str, seconds: str, partitions: int | N
 
     rows = timings.where(F.col(seconds).isNotNull()).select(by, F.col(seconds).cast("double").alias("_v"))
     counted = rows.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = place_by_key(rows, [by], "_v", "_first", "_n", partitions).select(by, "_v", "_first", "_n").distinct().join(counted, [by, "_v"])
-    at = lambda q: F.min(F.when(F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1) + 1 < F.col("_first") + F.col("_c"), F.col("_v")))
-    return placed.groupBy(by).agg(F.max("_n").alias("n"), F.min("_v").alias("min_s"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("_v").alias("max_s"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_s"))
+    placed = place_by_key(rows, [by], "_v", "_first", "_size", partitions).select(by, "_v", "_first", "_size").distinct().join(counted, [by, "_v"])
+    at = lambda q: F.min(F.when(F.least(F.floor(F.lit(q) * F.col("_size")), F.col("_size") - 1) + 1 < F.col("_first") + F.col("_c"), F.col("_v")))
+    return placed.groupBy(by).agg(F.max("_size").alias("n"), F.min("_v").alias("min_s"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("_v").alias("max_s"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_s"))
 
 
 def refusal_table(checked: DataFrame, probe: DataFrame) -> DataFrame:

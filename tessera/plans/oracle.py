@@ -60,7 +60,7 @@ low AS (SELECT query, i, lower(regexp_replace(t, '^\.+|\.+$', '', 'g')) AS t FRO
 ok AS (SELECT * FROM low WHERE t <> '' AND NOT list_contains({_STOP}, t)),
 parts AS (SELECT query, i, 0 AS j, t FROM ok UNION ALL
   SELECT query, i, generate_subscripts(string_split(t, '.'), 1) AS j, unnest(string_split(t, '.')) AS t FROM ok WHERE contains(t, '.')),
-terms AS (SELECT query, t, min(i * 1000 + j) AS at FROM parts WHERE t <> '' AND NOT list_contains({_STOP}, t) GROUP BY ALL)"""
+terms AS (SELECT query, t, min(i * 1000 + j) AS spot FROM parts WHERE t <> '' AND NOT list_contains({_STOP}, t) GROUP BY ALL)"""
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 
 
@@ -105,7 +105,7 @@ w AS (SELECT *, claim <= 2 AS judged, claim = 2 OR (claim = 1 AND n % 2 = 0) AS
 def oracle_sql() -> dict[str, str]:
     return {
         "bm25_topk": _bm25(),
-        "match_terms": f"""WITH {_TERMS} SELECT q.query, coalesce(string_agg('"' || t || '"', ' OR ' ORDER BY at), '') AS expression FROM q LEFT JOIN terms ON terms.query = q.query GROUP BY q.query""",
+        "match_terms": f"""WITH {_TERMS} SELECT q.query, coalesce(string_agg('"' || t || '"', ' OR ' ORDER BY spot), '') AS expression FROM q LEFT JOIN terms ON terms.query = q.query GROUP BY q.query""",
         "dense_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (q.l * v.l), 9) AS score FROM n q, n v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",

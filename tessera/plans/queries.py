@@ -271,7 +271,7 @@ def stub_pages(s: SparkSession, d: str) -> DataFrame:
 def reported_aliases(s: SparkSession, d: str) -> DataFrame:
     """The groups of the stored report, one row a page, whether the two paths are compatible."""
     groups = table(s, d, "quality_report").select("report_id", F.explode("alias_groups").alias("g")).distinct()
-    canonical = F.array_min(F.transform("g", lambda u: F.struct(F.length(u).alias("n"), u.alias("u"))))["u"]
+    canonical = F.array_min(F.transform("g", lambda u: F.named_struct(F.lit("n"), F.length(u), F.lit("u"), u)))["u"]
     rows = groups.select("report_id", canonical.alias("canonical_url"), F.explode("g").alias("url"))
     return rows.withColumn("compatible", X.alias_compatible("canonical_url", "url"))
 
