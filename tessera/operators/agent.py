@@ -42,8 +42,7 @@ def with_responses(requests: DataFrame, cache: DataFrame, offline: bool = True,
 
         hit = rows.where("cached")
         miss = rows.where("NOT cached").withColumn("_r", ask("prompt"))
-        miss = miss.select(*[F.col(c) if c != "_r" else F.col("_r").cast(hit.schema["_r"].dataType).alias("_r") for c in rows.columns])
-        rows = hit.unionByName(miss)
+        rows = hit.unionByName(miss.select(*rows.columns))
     elif offline:
         rows = rows.withColumn("_r", F.when(F.col("cached"), F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("not in the cache: "), F.col("key"))).cast(rows.schema["_r"].dataType)))
     return rows.select("*", "_r.*").drop("_r")

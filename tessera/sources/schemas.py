@@ -11,7 +11,7 @@ CHUNKS = (
     T.StructType().add("chunk_id", "string").add("url", "string").add("anchor", "string").add("title", "string").add("heading_path", T.ArrayType(T.StringType()))
     .add("ordinal", "integer").add("text", "string").add("n_tokens", "integer").add("content_hash", "string").add("load_seq", "long")
 )
-#: What a column that a table lacks is filled with; others become null.
+#: What a missing column or a null in these columns is filled with; other missing columns become null.
 FILL = {"canonical_url": "", "status": "ok", "load_seq": 0}
 
 
@@ -20,5 +20,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     kept = []
     for f in schema.fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(FILL.get(f.name))
-        kept.append(c.cast(f.dataType).alias(f.name))
+        c = c.cast(f.dataType)
+        kept.append((F.coalesce(c, F.lit(FILL[f.name])) if f.name in FILL else c).alias(f.name))
     return df.select(*kept)

@@ -46,7 +46,7 @@ def raw_pages(spark: SparkSession, folder: str, base: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(folder)
     root = folder.rstrip("/").removeprefix("file:")
     inside = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root) + "/", "")
-    return files.select(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(inside, "(^|/)index\\.html$", "$1")).alias("url"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(inside, "(^|/)index\\.html$", "$1")).alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, float | None]], known: DataFrame | None = None, tries: int = TRIES, pause: Callable[[float], None] | None = None, partitions: int = 8) -> DataFrame:
