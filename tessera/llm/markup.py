@@ -49,7 +49,7 @@ _CONSTRUCT = re.compile(
   | (?P<drop><(?P<dropped>script|style)\b[^>]*>.*?</(?P=dropped)\s*>)
   | (?P<autolink><(?:https?|mailto|ftp):[^<>\s]+>)
   | (?P<tag><(?P<close>/?)(?P<name>(?i:{_HTML_NAME})(?=[\s/>])|(?<=/)[A-Za-z][\w:-]*|[A-Za-z][\w:-]*(?=\s+[\w:-]+\s*=\s*(?:{_QUOTED}))|[A-Za-z][\w:-]*(?=\s*/>))(?:\s(?:[^<>\"']|{_QUOTED})*)?/?>)
-  | (?P<entity>&(?:\#\d+|\#[xX][0-9a-fA-F]+|(?P<named>[A-Za-z][A-Za-z0-9]+));)
+  | (?P<entity>&(?:amp;)*(?:\#\d+|\#[xX][0-9a-fA-F]+|(?P<named>[A-Za-z][A-Za-z0-9]+));)
   | (?P<latexenv>\\(?P<edge>begin|end)\{{(?P<env>[A-Za-z*]+)\}}(?:\[[^\]\n]*\])?(?:(?<=tabular\}})\{{[^}}]*\}})?)
   | (?P<latexmath>\\\((?P<inlinemath>.+?)\\\)|\\\[(?P<blockmath>.+?)\\\])
   | (?P<latexcmd>~?\\(?P<cmd>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?(?P<args>(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})+))

@@ -75,6 +75,11 @@ def score(words: list[str], weights: dict[str, list[tuple[str, float]]], rarity:
     return (best if top > second else None), top / math.sqrt(len(words))
 
 
+def _needed(usual: float) -> float:
+    """The lift asked for: ``LEAST_LIFT``, or half way to the most that a frequent subject can have."""
+    return min(LEAST_LIFT, (1 + 1 / usual) / 2)
+
+
 def learn(sample: list[tuple[str, list[str]]], seeds: dict[str, list[str]], rounds: int = ROUNDS) -> dict[str, list[tuple[str, float]]]:
     """Terms, each with its (subject, weight) pairs, from (text, subjects given by hand) pairs and the seed terms of each subject.
 
@@ -116,8 +121,9 @@ def learn(sample: list[tuple[str, list[str]]], seeds: dict[str, list[str]], roun
             pairs = []
             for x, v in c.items():
                 share, usual = v / (n + 0.5), total[x] / everything
-                labelled = (by_label[w][x] + base[x] / len(units)) / (n + 1) / (max(base[x], 1) / len(units))
-                if share >= LEAST_SHARE and share / usual >= LEAST_LIFT and labelled >= LEAST_LIFT:
+                common = max(base[x], 1) / len(units)
+                labelled = (by_label[w][x] + base[x] / len(units)) / (n + 1) / common
+                if share >= LEAST_SHARE and share / usual >= _needed(usual) and labelled >= _needed(common):
                     pairs.append((x, math.log(share / usual)))
             if pairs:
                 weights[w] = sorted(pairs)
