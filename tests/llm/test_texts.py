@@ -189,8 +189,11 @@ def test_clean(spark):
     assert markup.infer(markup.marked(df, ["chunk_id"])).where("host = 'h0.example'").count() > 5
 
 
-SUBJECTS = [("law", "d", ["court", "judge"]), ("sport", "d", ["goal", "referee"]), ("empty", None, None), (None, "x", ["y"])]
-WORDS = {"law": "court judge statute verdict jury appeal".split(), "sport": "goal referee stadium striker league medal".split()}
+WORDS = {
+    "law": "court judge statute verdict jury appeal".split(), "sport": "goal referee stadium striker league medal".split(), "music": "violin chord melody tempo sonata choir".split(),
+    "farming": "harvest tractor field barn plough seed".split(), "cooking": "oven dough recipe butter pan spice".split(),
+}
+SUBJECTS = [(s, "d", w[:2]) for s, w in WORDS.items()] + [("empty", None, None), (None, "x", ["y"])]
 
 
 def sentence(r, s):
