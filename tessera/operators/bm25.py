@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import analysis
 from ..functions.text import match_terms
 from ..plans.ranking import top_n
+from ..plans.shared import materialize
 
 #: BM25's constants, the weights of the fields, the pool that is ranked before filters, the floor of idf.
 K1, B = 1.2, 0.75
@@ -65,14 +66,21 @@ def phrase_counts(index: Index, phrases: DataFrame) -> DataFrame:
     """phrase, doc, field, tf: how often each distinct phrase stands in a field. Single terms need no positions."""
     distinct = phrases.select("phrase").distinct()
     single = distinct.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term")).join(index.postings, "term").select("phrase", "doc", "field", F.size("positions").alias("tf"))
-    several = distinct.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("offset", "term")).join(index.postings, "term")
-    starts = several.select("phrase", "doc", "field", "offset", F.explode("positions").alias("pos")).groupBy("phrase", "doc", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("hits"))
-    whole = starts.where(F.col("hits") == F.size("phrase")).groupBy("phrase", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # a longer phrase starts from its rarest term, so common terms cost what the rare one holds
+    several = distinct.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("offset", "term"))
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = several.join(df, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "term")).alias("r")).where("r.df > 0")
+    starts = rarest.select("phrase", "r.offset", "r.term").join(index.postings, "term").select("phrase", "doc", "field", F.col("offset").alias("anchor"), F.explode("positions").alias("pos"))
+    starts = starts.select("phrase", "doc", "field", "anchor", (F.col("pos") - F.col("anchor")).alias("start"))
+    others = starts.select("phrase", "doc", "field", "anchor", "start", F.posexplode("phrase").alias("offset", "term")).where("offset <> anchor")
+    held = others.join(index.postings, ["doc", "field", "term"]).where(F.array_contains("positions", F.col("start") + F.col("offset")))
+    hits = held.groupBy("phrase", "doc", "field", "start").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.size("phrase") - 1)
+    whole = hits.groupBy("phrase", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     return single.unionByName(whole)
 
 
-def scores(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc, score (higher is better) of every document that holds a phrase of the query."""
+def parts(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
+    """phrase, doc, part, common: what a phrase adds to a document's score; common if more than half of the documents hold it, so that its idf is the floor."""
     counts = phrase_counts(index, phrases)
     weight: Column = F.lit(0.0)
     for f in index.fields:
@@ -81,10 +89,37 @@ def scores(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIG
     size = index.lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), (F.sum("n_terms") / F.count(F.lit(1))).alias("avgdl"))  # one row
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(size)).select("phrase", "avgdl", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"))
+    idf = df.crossJoin(F.broadcast(size)).select("phrase", "avgdl", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"), (raw <= 0).alias("common"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("n_terms") / F.col("avgdl"))
-    parts = tf.join(idf, "phrase").join(index.lengths, "doc").select("phrase", "doc", (F.col("idf") * F.col("f") * F.lit(k1 + 1.0) / (F.col("f") + norm)).alias("part"))
-    return phrases.join(parts, "phrase").groupBy("query_id", "doc").agg(F.sum(F.col("part") * F.col("n")).alias("score"))
+    return tf.join(idf, "phrase").join(index.lengths, "doc").select("phrase", "doc", (F.col("idf") * F.col("f") * F.lit(k1 + 1.0) / (F.col("f") + norm)).alias("part"), "common")
+
+
+def _summed(phrases: DataFrame, found: DataFrame) -> DataFrame:
+    return phrases.join(found, "phrase").groupBy("query_id", "doc").agg(F.sum(F.col("part") * F.col("n")).alias("score"))
+
+
+def scores(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc, score (higher is better) of every document that holds a phrase of the query."""
+    return _summed(phrases, parts(index, phrases, weights, k1, b))
+
+
+def best_scores(index: Index, phrases: DataFrame, k: int, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """Scores that hold the ``k`` best of each query, and not every document with a phrase that most documents hold.
+
+    Such a common phrase adds at most IDF_FLOOR (k1 + 1). Documents are first scored by the other phrases.
+    If the k-th of a query is above what its common phrases can add, only documents within that of the k-th
+    can be among the best, and only they get the common parts. Other queries are scored in full.
+    """
+    found = materialize(parts(index, phrases, weights), "parts")
+    rare, common = found.where("NOT common"), found.where("common")
+    main = _summed(phrases, rare)
+    at_most = phrases.join(common.select("phrase").distinct(), "phrase").groupBy("query_id").agg((F.sum("n") * F.lit(IDF_FLOOR * (K1 + 1) * 1.01)).alias("bound"))
+    kth = top_n(main, ["query_id"], [F.col("score").desc(), F.col("doc")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    safe = kth.join(at_most, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).where(F.col("kth") > F.col("bound") + 1e-9)
+    near = main.join(safe, "query_id").where(F.col("score") >= F.col("kth") - F.col("bound") - 1e-9).select("query_id", "doc", "score")
+    added = near.join(phrases, "query_id").join(common.select("phrase", "doc", "part"), ["phrase", "doc"]).select("query_id", "doc", (F.col("part") * F.col("n")).alias("score"))
+    full = _summed(phrases.join(safe.select("query_id"), "query_id", "left_anti"), found)
+    return near.unionByName(added).groupBy("query_id", "doc").agg(F.sum("score").alias("score")).unionByName(full)
 
 
 def search(index: Index, queries: DataFrame, k: int, weights: Mapping[str, float] = WEIGHTS, stem: bool = True, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -92,5 +127,5 @@ def search(index: Index, queries: DataFrame, k: int, weights: Mapping[str, float
 
     A query without search terms, or k below 1, has no rows.
     """
-    found = scores(index, query_phrases(queries, stem, query_id, query), weights)
+    found = best_scores(index, query_phrases(queries, stem, query_id, query), max(1, k), weights)
     return top_n(found.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("doc")], max(0, k)).select("query_id", "rank", "doc", "score")
