@@ -32,8 +32,10 @@ class Index:
         rows = analyzed.select(F.col(doc).alias("doc"), *[F.col(f) for f in fields])
         stacked = rows.select("doc", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])).alias("s"))
         placed = stacked.select("doc", "s.field", F.posexplode("s.terms").alias("pos", "term"))
-        self.postings = placed.groupBy("doc", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        # an index is written once and read by term, by document and for its sizes
+        self.postings = materialize(placed.groupBy("doc", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions")), "postings")
         self.lengths = rows.select("doc", F.aggregate(F.array(*[F.size(f) for f in fields]), F.lit(0), lambda a, x: a + x).cast("double").alias("n_terms"))
+        self.lengths = materialize(self.lengths, "lengths")
 
 
 def build_index(rows: DataFrame, doc: str = "chunk_id", fields: list[str] | None = None, stem: bool = True) -> Index:
