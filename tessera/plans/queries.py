@@ -143,9 +143,11 @@ def corpus_fingerprint(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
-    """The chunks of each title reranked by the words they share with it."""
-    base = _chunks(s, d).where("title IS NOT NULL").select(F.col("title").alias("query_id"), "chunk_id").distinct()
-    base = top_n(base, ["query_id"], [F.col("chunk_id")], rerank.TOP_N)
+    """All chunks of each title reranked by the words they share with it; ties by chunk_id.
+
+    A title's chunks have no ranking of their own, so all stand at the first place and all are scored.
+    """
+    base = _chunks(s, d).where("title IS NOT NULL").select(F.col("title").alias("query_id"), F.lit(1).alias("rank"), "chunk_id").distinct()
     return rerank.rerank(base, base.select("query_id", F.col("query_id").alias("query")).distinct(), table(s, d, "chunks"), 10)
 
 

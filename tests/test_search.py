@@ -3,6 +3,7 @@ import sqlite3
 from tessera.functions import analysis
 from tessera.functions import text as X
 from tessera.operators import bm25, dense, fusion, rerank
+from tessera.plans import queries
 
 
 def rows(df, *cols):
@@ -112,6 +113,14 @@ def test_rerank(spark):
     assert [r[0] for r in rows(rerank.rerank(base, q, t, 1, scorer=lambda q, t: (t == "x") * 1.0), "chunk_id")] == ["a"]
 
 
+def test_rerank_overlap_scores_every_chunk(spark, tmp_path):
+    """The best chunk of a long title has the largest chunk_id, behind more than rerank.TOP_N others."""
+    c = [(f"c{i:03d}", "u", i, "Change log", "change" if i < 140 else "change log") for i in range(150)]
+    spark.createDataFrame(c, "chunk_id string, url string, ordinal int, title string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = rows(queries.queries()["rerank_overlap"](spark, str(tmp_path)).orderBy("rank"), "rank", "chunk_id", "score")
+    assert got == [(i + 1, f"c{140 + i}", 1.0) for i in range(10)]
+
+
 def test_random_run(spark):
     q = spark.createDataFrame([("q1",), ("q2",)], "query_id string")
     items = spark.createDataFrame([(f"c{i}",) for i in range(30)] + [(None,)], "chunk_id string")
