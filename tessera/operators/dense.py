@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,20 +68,21 @@ def search(queries: DataFrame, index: DataFrame, k: int, dim: int, query_id: str
     """query_id, rank, item, score: the ``k`` vectors of highest cosine (9 decimals; ties by smaller item).
 
     Vectors of another length, null or zero ones have no rank; repeated items count once, at their best.
-    Queries and vectors are cut into blocks of bounded size by hash, and block meets block once.
+    Queries and vectors are cut into blocks of bounded size by hash, and block meets block once. Equal rows are
+    one before that, and a block gives its ``k`` best items, however many vectors an item has.
     """
     spark = queries.sparkSession
     ok = lambda c: F.col(c).isNotNull() & (F.size(c) == dim) & F.exists(c, lambda x: x != 0)
     q = materialize(queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<float>").alias("qv")).where(ok("qv")), "queries")
     v = index.select(F.col(item).alias("item"), F.col(vec).cast("array<float>").alias("v")).where(ok("v") & F.col("item").isNotNull())
-    v = materialize(v, "vectors")
+    v = materialize(v.distinct(), "vectors")
     nq, nv = -(-q.count() // QUERY_BLOCK), -(-v.count() // VECTOR_BLOCK)
     kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, item {v.schema['item'].dataType.simpleString()}, score double"
     if not nq or not nv or k < 1:
         return spark.createDataFrame([], kinds).withColumn("rank", F.lit(0)).select("query_id", "rank", "item", "score")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
-    right = v.withColumn("ivb", F.pmod(F.xxhash64("item"), F.lit(nv)).cast("int")).withColumn("iqb", blocks(nq))
+    right = v.withColumn("ivb", F.pmod(F.xxhash64("item", "v"), F.lit(nv)).cast("int")).withColumn("iqb", blocks(nq))
 
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -89,8 +91,13 @@ def search(queries: DataFrame, index: DataFrame, k: int, dim: int, query_id: str
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": a.column("query_id")[:0], "item": b.column("item")[:0], "score": pa.array([], pa.float64())})
+        b = b.sort_by("item")
         s = np.round(unit(a.column("qv")) @ unit(b.column("v")).T, 9)
-        keep = min(2 * k, s.shape[1])
+        names = b.column("item").combine_chunks()
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+        if len(starts) < len(names):  # an item's best vector stands for it
+            s, b = np.maximum.reduceat(s, starts, axis=1), b.take(pa.array(starts))
+        keep = min(k, s.shape[1])
         top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
         least = np.take_along_axis(s, top, 1).min(1)
         rows, cols = np.nonzero(s >= least[:, None])  # all ties of the last place

@@ -71,6 +71,15 @@ def test_dense_search(spark):
     assert vecs["x"] == vecs["y"] and abs(sum(x * x for x in vecs["x"]) - 1) < 1e-6
 
 
+def test_dense_search_hot_items(spark):
+    """Items with more equal or more different vectors than a block gives leave the places of other items."""
+    hot = [("a", [1.0, 0.0])] * 30 + [("b", [1.0, 0.001 * i]) for i in range(30)]
+    v = spark.createDataFrame(hot + [("c", [1.0, 0.5]), ("d", [1.0, 1.0]), ("e", [0.0, 1.0])], "chunk_id string, vec array<float>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vec array<float>")
+    want = [(1, "a", 1.0), (2, "b", 1.0), (3, "c", 0.894427191), (4, "d", 0.707106781)]
+    assert rows(dense.search(q, v, 4, 2).orderBy("rank"), "rank", "item", "score") == want
+
+
 def test_fingerprint(spark):
     a = spark.createDataFrame([("a", "1"), ("b", None)], "chunk_id string, content_hash string")
     b = spark.createDataFrame([("b", None), ("a", "1")], a.schema)
