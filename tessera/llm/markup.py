@@ -1,11 +1,14 @@
-"""Markup residue in texts: wrappers inferred from same-host token streams, then clean text.
+"""Markup residue in texts: a fixed grammar finds it and makes clean text; wrappers describe it by host.
 
 A text is read into mark tokens (of HTML, Markdown, wiki, LaTeX and reStructuredText) and text; each
 construct, from its opening to its closing mark, is a small tree. Wrappers are union-free regular
 expressions: for each host and kind of construct the trees are aligned one after the other; a
 different text becomes a slot, children found in one only become optional, and runs of alike
-children become a repeated group. A text is cleaned by matching its constructs with the wrappers
-of its host: slots are kept, repeated groups become list items, table rows or paragraphs, marks go.
+children become a repeated group.
+
+What is markup is decided by the grammar (``read``), and how a construct is written by its name (``render``).
+Wrappers are inferred from the constructs of the rows that are cleaned and take all of them, so they change
+neither; only ``infer`` shows them.
 
 Regular forms stay as they are: ``- `` and ``1. `` lists, ``| a | b |`` tables, code between lines of
 three backticks, formulas between dollar signs. Identifiers, operators, types, paths and
@@ -345,8 +348,13 @@ _DROPPED = {"html:!", "html:script", "html:style", "html:head", "html:nav", "htm
 
 
 def render(parts: list, accepted) -> str:
-    """Clean text of a list of strings and constructs. A construct that ``accepted`` refuses keeps only its inner text."""
-    return "".join(p if isinstance(p, str) else _render(p, accepted) for p in parts)
+    """Clean text of a list of strings and constructs. An outermost construct that ``accepted`` refuses keeps only its inner text."""
+    return "".join(p if isinstance(p, str) else _render(p, _taken) if accepted(p) else render(p[1], accepted) for p in parts)
+
+
+def _taken(node: list) -> bool:
+    """What stands inside an accepted construct was matched with it."""
+    return True
 
 
 def _flat(node: list, accepted) -> str:
@@ -478,7 +486,7 @@ def clean(rows: DataFrame, key: list[str], text: str = "text", url: str = "url",
     """``key``, clean_text, kinds (names of the constructs, sorted), n_marks of every text with markup.
 
     Texts without markup, null and empty ones give no rows: they are clean. Wrappers are inferred from
-    all rows of the same host. Rows of one host are spread over ``salts`` groups, so a host that holds most rows
+    all rows of the same host, so they take every construct. Rows of one host are spread over ``salts`` groups, so a host that holds most rows
     is cleaned by many tasks. Repeated rows are cleaned each; a null url is a host of its own.
     """
     found = materialize(marked(rows, key, text, url), "marked")

@@ -168,6 +168,13 @@ def test_marks_by_hand():
         assert markup.tidy(markup.render(parts, lambda n: True)) == want, t
 
 
+def test_refused_construct_keeps_inner_text():
+    """``render`` asks ``accepted`` of the outermost constructs; what stands in an accepted one goes with it."""
+    parts = markup.read("a <ul><li>x</li><li>y</li></ul> b")
+    assert markup.render(parts, lambda n: n[0] == "html:ul") == "a \n- x\n- y\n b"
+    assert markup.render(parts, lambda n: False) == "a xy b"
+
+
 def test_wrapper_inference():
     """Different texts become slots, what one lacks is optional, alike neighbours repeat; a wrapper takes all it came from."""
     trees = [markup.constructs(markup.read(t))[0] for t in ("<ul><li>a</li></ul>", "<ul><li>b <b>c</b></li><li>d</li></ul>", "<ul>x<li>a</li></ul>")]
