@@ -18,9 +18,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.ranking import position_by_bucket, top_n
+from ..plans.ranking import ranges, top_n
 from ..plans.shared import materialize
 
 #: Most vectors that the codebooks are fitted on, and most centroids of a codebook.
@@ -29,8 +30,10 @@ TRAIN_ROWS, MOST_CENTROIDS = 20_000, 256
 REACH = 24
 #: Most entries of a block, and about the most queries against it at a time.
 BLOCK_ROWS, QUERY_ROWS = 4096, 8192
-#: Candidates kept beyond k in a block: the vector itself, and room for ties.
+#: Candidates kept beyond k in a block: room for items with several vectors. Ties need none, they are cut by item.
 SPARE = 3
+#: More than any error of a cosine in single precision, and entries that near to the last place from which all are taken in double.
+NOISE, MANY = 1e-5, 64
 
 
 def train_codebook(half: np.ndarray, k: int) -> np.ndarray:
@@ -102,24 +105,41 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def best(queries: np.ndarray, query_ids: np.ndarray, entries: np.ndarray, entry_ids: np.ndarray, keep: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its ``keep`` best entries other than itself and not under ``least``: query row, entry id, cosine.
 
-    Unit vectors in double; single precision chooses, double gives the cosine.
+    Unit vectors in double. Single precision passes over what is clearly too far; the rest goes by the cosine in
+    double, rounded to 9 decimals, and ties by the smaller id.
     """
     rows, ids, values = [], [], []
+    order = np.argsort(entry_ids)
+    entries, entry_ids = entries[order], entry_ids[order]
     entries32 = entries.astype(np.float32).T
+
+    def add(r: np.ndarray, c: np.ndarray, cos: np.ndarray) -> None:
+        rows.append(r)
+        ids.append(entry_ids[c])
+        values.append(cos)
+
     for at in range(0, len(queries), 1024):
-        q = queries[at : at + 1024]
+        q, own = queries[at : at + 1024], query_ids[at : at + 1024, None] == entry_ids[None, :]
         s = q.astype(np.float32) @ entries32
-        s[query_ids[at : at + 1024, None] == entry_ids[None, :]] = -3
+        s[own] = -3
+        bar = least[at : at + 1024]
         if s.shape[1] > keep:
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            s = np.take_along_axis(s, top, 1)
-        else:
-            top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        r, c = np.nonzero((s > -2) & (s >= least[at : at + 1024, None] - 1e-5))
-        e = top[r, c]
-        rows.append(r + at)
-        ids.append(entry_ids[e])
-        values.append(np.einsum("ij,ij->i", q[r], entries[e]))
+            bar = np.maximum(bar, np.partition(s, s.shape[1] - keep, axis=1)[:, -keep])
+        near = (s > -2) & (s >= bar[:, None] - NOISE)
+        many = near.sum(1) > max(MANY, keep)
+        r, c = np.nonzero(near & ~many[:, None])
+        cos = np.round(np.einsum("ij,ij->i", q[r], entries[c]), 9)
+        order = np.lexsort((c, -cos, r))
+        r, c, cos = r[order], c[order], cos[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < keep
+        add(r[first] + at, c[first], cos[first])
+        if many.any():  # a dense spot, in which single precision tells nothing
+            x = np.round(q[many] @ entries.T, 9)
+            x[own[many]] = -3
+            last = np.partition(x, x.shape[1] - keep, axis=1)[:, -keep, None]
+            above, tied = x > last, x == last
+            r, c = np.nonzero(above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= keep - above.sum(1, keepdims=True))))
+            add(np.flatnonzero(many)[r] + at, c, x[r, c])
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(values)
 
 
@@ -138,12 +158,14 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, item: str = "chunk_id
     vectors is as near as its nearest. Length does not matter. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    # copies of a vector are one class; 128 bits of hash stand for its values
+    # copies of a vector, and those scaled without rounding, are one class; 128 bits of hash stand for its direction
     rows = vectors.select(F.col(item).cast("string").alias("item"), F.col(vec).cast("array<float>").alias("v")).where(usable("v", dim) & F.col("item").isNotNull())
-    hashed = rows.select("item", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("g"))
+    top = F.array_max(F.transform("v", lambda x: F.abs(x))).cast("double")
+    rows = rows.withColumn("d", F.transform("v", lambda x: x.cast("double") / top))
+    hashed = rows.select("item", "v", F.xxhash64("d").alias("h"), F.xxhash64(F.lit(7), "d").alias("g"))
     firsts = top_n(hashed.select("h", "g", "item").distinct(), ["h", "g"], [F.col("item")], k + 1).groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("items"))
     values = hashed.groupBy("h", "g").agg(F.first("v").alias("v"))
-    classes = materialize(position_by_bucket(values.join(firsts, ["h", "g"]), [], ["h", "g"], "vid"), "classes")
+    classes = materialize(in_order(values.join(firsts, ["h", "g"])), "classes")
     n = classes.count()
     if n == 0:
         return spark.createDataFrame([], "item string, neighbour string, rank int, cosine double")
@@ -234,6 +256,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return d / np.sqrt((d**2).sum(1, keepdims=True))
 
 
+def in_order(classes: DataFrame) -> DataFrame:
+    """h, g, v, items and vid, numbers from 0 in the order of the smallest item, so that the smaller of two numbers wins a tie.
+
+    The k best items of a query are then in its k best classes, however many classes tie.
+    """
+    key = ["first", "h", "g"]
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = ranges(classes.withColumn("first", F.col("items")[0]), key, "_range", parts, "ordered")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*key)) - 1
+    return cut.join(F.broadcast(shifts), "_range").select("h", "g", "v", "items", (F.col("_shift") + place).cast("long").alias("vid"))
+
+
 def neighbour_pairs(listed: DataFrame) -> DataFrame:
     """chunk_id_a, chunk_id_b, smaller first: pairs in which one is in the other's list, once each."""
     a, b = F.least("item", "neighbour"), F.greatest("item", "neighbour")

@@ -141,6 +141,20 @@ def test_nearest_equals_brute_force_on_small_data(spark):
     assert small == got
 
 
+def test_nearest_many_ties(spark):
+    """More directions that tie than candidates: copies of other lengths, rounded in single precision, and ids in no order."""
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=64)
+    ids = rng.permutation(300)
+    good = {f"v{i:03d}": (hot * (0.5 + 0.013 * n) if n < 100 else hot + rng.normal(size=64) * (0.01 if n < 150 else 1)).astype(np.float32).tolist() for n, i in enumerate(ids)}
+    df = spark.createDataFrame(list(good.items()), "chunk_id string, vec array<float>")
+    for block_rows in (7, 4096):
+        got = {}
+        for r in knn.nearest(df, k=5, block_rows=block_rows).orderBy("item", "rank").collect():
+            got.setdefault(r["item"], []).append(r["neighbour"])
+        assert got == exact(good, 5)
+
+
 def test_nearest_recall(spark):
     """Recall of at least 0.9 on uneven clusters when only part of the collection is seen."""
     rng = np.random.default_rng(2)
