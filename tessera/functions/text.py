@@ -77,12 +77,17 @@ def alias_compatible(url_a: str | Column, url_b: str | Column) -> Column:
     return (device_set(a) == device_set(b)) & (is_subsequence(a, b) | is_subsequence(b, a))
 
 
-def is_stub(n_chunks: Column, n_tokens: Column, text: Column) -> Column:
-    """One short chunk that says it was moved or deprecated; false if a part is null."""
+def says_stub(text: Column) -> Column:
+    """Whether a text says that it was moved or deprecated."""
     low = F.lower(text)
     said = low.contains(STUB_PHRASES[0])
     for p in STUB_PHRASES[1:]:
         said = said | low.contains(p)
+    return said
+
+
+def is_stub(n_chunks: Column, n_tokens: Column, said: Column) -> Column:
+    """One short chunk that says it was moved or deprecated; false if a part is null."""
     return F.coalesce((n_chunks == 1) & (n_tokens <= STUB_MAX_TOKENS) & said, F.lit(False))
 
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 
 
 def page_texts(chunks: DataFrame) -> DataFrame:
-    """url, n_chunks, n_tokens, signature, first_text of every page that has chunks.
+    """url, n_chunks, n_tokens, signature, says_stub (of the first chunk's whole text) of every page that has chunks.
 
     The signature covers the texts in order of ordinal, identifiers cut to their last segment. Exact
     repeats of a chunk count once. A page's chunks are gathered as (ordinal, hash) and the hashes are
@@ -20,9 +20,9 @@ def page_texts(chunks: DataFrame) -> DataFrame:
     hashed = rows.withColumn("_h", F.sha2(T.short_identifiers("text"), 256))
     pages = hashed.groupBy("url").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "_h"))).alias("_parts"),
-        F.min_by(F.substring("text", 1, 2000), F.struct("ordinal", "chunk_id")).alias("first_text"),
+        F.min_by(T.says_stub(F.col("text")), F.struct("ordinal", "chunk_id")).alias("says_stub"),
     )
-    return pages.select("url", "n_chunks", "n_tokens", F.sha2(F.array_join(F.transform("_parts", lambda p: p["_h"]), "\n"), 256).alias("signature"), "first_text")
+    return pages.select("url", "n_chunks", "n_tokens", F.sha2(F.array_join(F.transform("_parts", lambda p: p["_h"]), "\n"), 256).alias("signature"), "says_stub")
 
 
 def first_fit(urls: list[str]) -> list[list[str]]:
@@ -92,7 +92,7 @@ def analyze(chunks: DataFrame) -> DataFrame:
     """url, canonical_url (itself where it has no alias), status ('ok' or 'stub') of every page with chunks."""
     pages = page_texts(chunks)
     groups = alias_clusters(pages).where("cluster_size > 1").select("url", "canonical_url")
-    return pages.join(groups, "url", "left").select("url", F.coalesce("canonical_url", "url").alias("canonical_url"), F.when(T.is_stub(F.col("n_chunks"), F.col("n_tokens"), F.col("first_text")), F.lit("stub")).otherwise(F.lit("ok")).alias("status"))
+    return pages.join(groups, "url", "left").select("url", F.coalesce("canonical_url", "url").alias("canonical_url"), F.when(T.is_stub(F.col("n_chunks"), F.col("n_tokens"), F.col("says_stub")), F.lit("stub")).otherwise(F.lit("ok")).alias("status"))
 
 
 def report(analysis: DataFrame) -> DataFrame:

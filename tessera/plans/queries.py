@@ -266,7 +266,7 @@ def stub_urls(s: SparkSession, d: str) -> DataFrame:
 def stub_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages that are placeholders by their text."""
     p = quality.page_texts(table(s, d, "chunks"))
-    return p.where(X.is_stub(F.col("n_chunks"), F.col("n_tokens"), F.col("first_text"))).select("url")
+    return p.where(X.is_stub(F.col("n_chunks"), F.col("n_tokens"), F.col("says_stub"))).select("url")
 
 
 @_query

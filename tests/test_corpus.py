@@ -206,3 +206,10 @@ def test_stream(spark, tmp_path):
     for expected in ([("c1", "one"), ("c2", "two")],):
         upsert_stream(spark.readStream.schema(files.CHUNKS).json(f"{d}/in"), f"{d}/out", f"{d}/cp").awaitTermination()
         assert col(read_corpus(spark, f"{d}/out")[1], "chunk_id", "text") == expected
+
+
+def test_stub_phrase_anywhere(spark):
+    """A phrase at the end of a long text counts, whatever n_tokens says."""
+    said = "word " * 600 + X.STUB_PHRASES[0]
+    c = spark.createDataFrame([("a", "u", 0, said, None), ("b", "v", 0, "word " * 600, None)], "chunk_id string, url string, ordinal int, text string, n_tokens int")
+    assert {r["url"]: r["status"] for r in quality.analyze(c).collect()} == {"u": "stub", "v": "ok"}
