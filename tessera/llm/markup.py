@@ -1,428 +1,153 @@
-"""Markup residue in texts: a fixed grammar finds it and makes clean text; wrappers describe it by host.
+"""Markup residue in texts: wrappers inferred from a host's other texts find it, and clean text is made from their slots and groups.
 
-A text is read into mark tokens (of HTML, Markdown, wiki, LaTeX and reStructuredText) and text; each
-construct, from its opening to its closing mark, is a small tree. Wrappers are union-free regular
-expressions: for each host and kind of construct the trees are aligned one after the other; a
-different text becomes a slot, children found in one only become optional, and runs of alike
-children become a repeated group.
-
-What is markup is decided by the grammar (``read``), and how a construct is written by its name (``render``).
-Wrappers are inferred from the constructs of the rows that are cleaned and take all of them, so they change
-neither; only ``infer`` shows them.
-
-Regular forms stay as they are: ``- `` and ``1. `` lists, ``| a | b |`` tables, code between lines of
-three backticks, formulas between dollar signs. Identifiers, operators, types, paths and
-placeholders are no marks.
+Texts are read into token streams and candidate trees (``marks``), which is not yet to call anything
+markup: nearly every text has stars, brackets or braces. Union-free wrappers are then inferred for each host (``wrappers``), and a text's tree
+is markup if a wrapper that other texts gave takes it. In the clean text of a tree the wrapper's slots are kept,
+its repeated groups become list items, rows and cells, and its marks go. A refused tree stays as it stands, but for markup inside it.
 """
 
 from __future__ import annotations
 
-import html
 import json
 import re
-from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
+from .marks import FENCE, candidates
+from .wrappers import ALL_FOLDS, EVERYWHERE, FOLDS, Judge, forms, generalise, infer, is_construct
 
-#: Element names that count as HTML (or MathML, or the tags of wikis) even without attributes.
-ELEMENTS = frozenset(
-    """a abbr acronym address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em
-    figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark math meta mfrac mi mn mo
-    mrow msqrt msub msup mtext nav nowiki ol option p pre q ref s samp script section select small span strike strong style sub summary sup svg table tbody td
-    template textarea tfoot th thead time title tr tt u ul var""".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: LaTeX commands that count without an argument in braces, and font switches.
-BARE_COMMANDS = "item|noindent|par|newline|newpage|maketitle|centering|hline|ldots|dots|LaTeX|TeX|bigskip|medskip|smallskip|toprule|midrule|bottomrule"
-SWITCHES = "it|bf|em|tt|sc|rm|sf|sl|small|large|Large|footnotesize"
-
-_FENCE = re.compile(r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\Z)")
-_HTML_NAME = "(?:" + "|".join(sorted(ELEMENTS | VOID, key=lambda n: (-len(n), n))) + ")"
-_QUOTED = r"\"[^\"]*\"|'[^']*'"
-_CONSTRUCT = re.compile(
-    rf"""
-    (?:(?=[$<&\\~{{:`!\['*_])|(?<![^\n]))(?:
-    (?P<money>\$\d[\d.,]*(?=\s|[.,;:!?)]|$))
-  | (?P<formula>\$\$.+?\$\$|\$(?!\s)(?:[^$\n\\]|\\.)+\$)
-  | (?P<comment><!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>|<\?xml[^>]*\?>)
-  | (?P<drop><(?P<dropped>script|style)\b[^>]*>.*?</(?P=dropped)\s*>)
-  | (?P<autolink><(?:https?|mailto|ftp):[^<>\s]+>)
-  | (?P<tag><(?P<close>/?)(?P<name>(?i:{_HTML_NAME})(?=[\s/>])|(?<=/)[A-Za-z][\w:-]*|[A-Za-z][\w:-]*(?=\s+[\w:-]+\s*=\s*(?:{_QUOTED}))|[A-Za-z][\w:-]*(?=\s*/>))(?:\s(?:[^<>\"']|{_QUOTED})*)?/?>)
-  | (?P<entity>&(?:amp;)*(?:\#\d+|\#[xX][0-9a-fA-F]+|(?P<named>[A-Za-z][A-Za-z0-9]+));)
-  | (?P<latexenv>\\(?P<edge>begin|end)\{{(?P<env>[A-Za-z*]+)\}}(?:\[[^\]\n]*\])?(?:(?<=tabular\}})\{{[^}}]*\}})?)
-  | (?P<latexmath>\\\((?P<inlinemath>.+?)\\\)|\\\[(?P<blockmath>.+?)\\\])
-  | (?P<latexcmd>~?\\(?P<cmd>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?(?P<args>(?:\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})+))
-  | (?P<latexgroup>\{{\\(?P<switch>{SWITCHES})\b\s*(?P<switched>[^{{}}]*)\}})
-  | (?P<latexbare>\\(?:{BARE_COMMANDS})(?![A-Za-z\\]))
-  | (?P<role>:(?P<rolename>[a-zA-Z][\w:+.-]*):`(?P<rolebody>[^`]+)`)
-  | (?P<rstlink>`(?P<rsttext>[^`<]*)<[^`>]*>`__?|`(?P<rstref>[^`<>\n]+)`__?(?!\w))
-  | (?P<literal>``(?P<literalbody>[^`\n](?:[^\n]*?[^`\n])?)``)
-  | (?P<directive>^[ \t]*\.\.[ ](?:(?P<directivename>[\w:.-]+)::|_[^:\n]+:|\|[^|\n]+\|[ ]\w+::)[ \t]*(?P<argument>[^\n]*))
-  | (?P<literalblock>(?<=[\w)\].,])::[ \t]*$)
-  | (?P<title>^[ \t]*(?P<titletext>[^\s|`>\#=*-][^\n|]*?)[ \t]*\n[ \t]*(?P<rule>={{3,}}|-{{3,}}|~{{3,}}|\^{{3,}}|\"{{3,}}|\+{{3,}}|\*{{3,}})[ \t]*$)
-  | (?P<hrule>^[ \t]*(?:={{4,}}|-{{3,}}|\*{{3,}}|~{{4,}}|_{{3,}})[ \t]*$)
-  | (?P<heading>^[ ]{{0,3}}(?P<hashes>\#{{1,6}})[ \t]+(?P<headingtext>\S[^\n]*?)[ \t]*\#*[ \t]*$)
-  | (?P<wikiheading>^[ \t]*(?P<equals>={{2,6}})[ \t]*(?P<wikititle>[^=\n]+?)[ \t]*(?P=equals)[ \t]*$)
-  | (?P<task>^(?P<bullet>[ \t]*(?:[-*+]|\d+[.)])[ \t]+)\[[ xX]\](?=\s))
-  | (?P<quote>^[ \t]{{0,3}}(?:>[ \t]?)+(?=\S))
-  | (?P<wikitable>^[ \t]*\{{\|[^\n]*\n(?P<wikirows>.*?)^[ \t]*\|\}}|^[ \t]*\{{\|[^\n]*|^[ \t]*\|\}}|^[ \t]*\|-+[ \t]*$)
-  | (?P<image>!\[(?P<alt>[^\]\n]*)\](?:\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)|\[[^\]\n]*\]))
-  | (?P<wikilink>\[\[(?!\s*[-\d:.,\s]+\]\])(?:[^\[\]|\n]*\|)*(?P<wikitext>[^\[\]|\n]+)\]\])
-  | (?P<extlink>\[(?:https?|ftp)://\S+(?P<exttext>\s[^\]\n]*)?\](?!\())
-  | (?P<link>(?<![\w\])\[])\[(?P<linktext>[^\[\]\n]+)\](?:\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)|\[(?!\s*[-\d:.,\s]*\])[^\[\]\n]+\]))
-  | (?P<linkdef>^[ ]{{0,3}}\[[^\]\n]+\]:[ \t]+\S+[^\n]*$)
-  | (?P<template>\{{\{{(?P<templatename>[A-Z][\w /-]*|[\w-][\w /-]*(?=\|))(?:\|(?P<templatebody>[^{{}}]*))?\}}\}})
-  | (?P<wikiemphasis>(?P<ticks>'{{2,5}})(?=[^\s'])(?P<ticked>[^'\n]*?(?:'[^'\n]+)*?)(?<=[^\s'])(?P=ticks)(?!'))
-  | (?P<strike>(?<!~)~~(?=[^\s~])(?P<struck>[^~\n]+?)(?<=[^\s~])~~(?!~))
-  | (?P<star>(?<![\w*\\])(?P<stars>\*{{1,3}})(?=[^\s*])(?P<starred>[^*\n]*?(?:\*{{1,2}}(?=[^\s*])[^*\n]+?(?<=[^\s*])\*{{1,2}}[^*\n]*?)?)(?<=[^\s*])(?P=stars)(?![\w*]))
-  | (?P<under>(?<![\w\\])(?P<lines>__|_)(?=[^\s_])(?P<underlined>[^_\n]*[^\w\n][^_\n]*?)(?<=[^\s_])(?P=lines)(?!\w))
-    )
-    """,
-    re.X | re.M | re.S,
-)
-#: Most nested constructs that are read; deeper ones stay text.
-DEEPEST = 8
-TEXT = "#TEXT"
-
-
-def read(text: str, depth: int = 0) -> list:
-    """The text as a list of strings and constructs [name, children, data]. Joined, nothing of the text's words is lost."""
-    out: list = []
-    at = 0
-    spans = [(m.start(), m.end()) for m in _FENCE.finditer(text)] if depth == 0 else []
-    for a, b in [*spans, (len(text), len(text))]:
-        out += _read_plain(text[at:a], depth)
-        if b > a:
-            out.append(text[a:b])
-        at = b
-    return _pair(out)
-
-
-def _read_plain(text: str, depth: int) -> list:
-    out: list = []
-    at = 0
-    inner = (lambda s: read(s, depth + 1)) if depth < DEEPEST else (lambda s: [s])
-    for m in _CONSTRUCT.finditer(text):
-        kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m[k] is not None)
-        node = _KINDS[kind](m, inner)
-        if node is None:
-            continue
-        if m.start() > at:
-            out.append(text[at : m.start()])
-        out.append(node)
-        at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    return out
-
-
-def _entity(m, _):
-    if m["named"] and f"{m['named']};" not in html5:
-        return None
-    return ["html:&", [], html.unescape(html.unescape(m[0]))]
-
-
-def _tag(m, _):
-    name, before = m["name"].lower(), m.string[max(0, m.start() - 40) : m.start()]
-    bare = m[0].strip("</>") == m["name"]
-    if bare and not m["close"] and m["name"] not in ELEMENTS | VOID and not m["name"].isupper() and not m[0].endswith("/>"):
-        return None
-    if bare and not m["close"] and re.search(r"\b[A-Z]\w*$", before) and f"</{name}" not in m.string[m.end() :].lower():
-        return None  # a type's parameter
-    if m["close"]:
-        return [f"html:/{name}", [], ""]
-    if name in VOID or m[0].endswith("/>"):
-        return [f"html:{name}/", [], ""]
-    return [f"html:{name}<", [], ""]
-
-
-def _latex_command(m, inner):
-    cmd, last = m["cmd"], re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}", m["args"])
-    if re.match(r"(section|subsection|subsubsection|chapter|paragraph|title)$", cmd):
-        return ["latex:heading", inner(last[-1]), ""]
-    if cmd in ("cite", "citep", "citet", "ref", "eqref", "label", "footnote", "pageref", "index", "vspace", "hspace", "includegraphics", "bibliography", "usepackage", "documentclass"):
-        return [f"latex:{cmd}", [], ""]
-    if cmd in ("frac", "sqrt", "sum", "int", "mathbf", "mathrm", "mathcal", "mathbb", "binom", "dfrac", "tfrac", "hat", "bar", "vec"):
-        return ["latex:math", [], m[0].lstrip("~")]
-    if cmd == "href" and len(last) > 1:
-        return ["latex:href", inner(last[1]), ""]
-    return [f"latex:{cmd}", inner(last[-1]), ""]
-
-
-def _underlined(m, inner):
-    return ["md:" + m["lines"], inner(m["underlined"]), ""]
-
-
-def _wiki_table(m, inner):
-    if m["wikirows"] is None:
-        return ["wiki:" + m[0].strip()[:2], [], ""]
-    rows = []
-    for line in re.split(r"(?m)^[ \t]*\|-[^\n]*$", m["wikirows"]):
-        cells = [c.strip() for part in re.split(r"(?m)^[ \t]*[|!]\+?", line) for c in re.split(r"\|\||!!", part)]
-        rows.append(["wiki:row", [["wiki:cell", inner(c), ""] for c in cells if c], ""])
-    return ["wiki:table", [r for r in rows if r[1]], ""]
-
-
-def _title(m, inner):
-    if len(m["rule"]) < 3 or m["titletext"].lstrip().startswith(("-", "|")):
-        return None
-    return ["rst:title", inner(m["titletext"]), ""]
-
-
-#: What a construct becomes: [name, children, data]; None if it is no markup after all, a string if it is regular.
-_KINDS = {
-    "money": lambda m, i: m[0],
-    "formula": lambda m, i: m[0],
-    "comment": lambda m, i: ["html:!", [], ""],
-    "drop": lambda m, i: [f"html:{m['dropped'].lower()}", [], ""],
-    "autolink": lambda m, i: ["md:autolink", [], m[0][1:-1]],
-    "tag": _tag,
-    "entity": _entity,
-    "latexenv": lambda m, i: [f"latex:{'env' if m['edge'] == 'begin' else '/env'}:{m['env']}" + ("<" if m["edge"] == "begin" else ""), [], ""],
-    "latexmath": lambda m, i: ["latex:math", [], (m["inlinemath"] or m["blockmath"]).strip()],
-    "latexcmd": _latex_command,
-    "latexgroup": lambda m, i: [f"latex:{m['switch']}", i(m["switched"]), ""],
-    "latexbare": lambda m, i: [f"latex:{m[0][1:]}/", [], ""],
-    "role": lambda m, i: ["rst:math", [], m["rolebody"]] if m["rolename"] == "math" else ["rst:role", [re.sub(r"\s*<[^>]*>$", "", m["rolebody"]).lstrip("~!")], ""],
-    "rstlink": lambda m, i: ["rst:link", i((m["rsttext"] or m["rstref"]).strip()), ""],
-    "literal": lambda m, i: ["rst:literal", [m["literalbody"]], ""],
-    "directive": lambda m, i: [f"rst:..{m['directivename'] or 'target'}", [], (m["argument"] or "").strip()],
-    "literalblock": lambda m, i: ["rst:::", [], ""],
-    "title": _title,
-    "hrule": lambda m, i: ["rst:rule", [], ""],
-    "heading": lambda m, i: ["md:heading", i(m["headingtext"]), ""],
-    "wikiheading": lambda m, i: ["wiki:heading", i(m["wikititle"]), ""],
-    "task": lambda m, i: ["md:task", [], m["bullet"]],
-    "quote": lambda m, i: ["md:>", [], ""],
-    "wikitable": _wiki_table,
-    "image": lambda m, i: ["md:image", i(m["alt"]), ""],
-    "wikilink": lambda m, i: ["wiki:link", i(m["wikitext"]), ""],
-    "extlink": lambda m, i: ["wiki:extlink", [(m["exttext"] or "").strip()], ""],
-    "link": lambda m, i: ["md:link", i(m["linktext"]), ""],
-    "linkdef": lambda m, i: ["md:linkdef", [], ""],
-    "template": lambda m, i: ["wiki:template", i((m["templatebody"] or "").rpartition("|")[2]), ""],
-    "wikiemphasis": lambda m, i: ["wiki:" + m["ticks"], i(m["ticked"]), ""],
-    "strike": lambda m, i: ["md:~~", i(m["struck"]), ""],
-    "star": lambda m, i: ["md:" + m["stars"], i(m["starred"]), ""],
-    "under": _underlined,
-}
-
-
-def _pair(parts: list) -> list:
-    """Opening marks (name ends in '<') take what follows up to their closing mark as children; those never closed stand alone."""
-    stack: list[tuple[list | None, list]] = [(None, [])]
-
-    def close(n: int) -> None:
-        while len(stack) > n:
-            node, kids = stack.pop()
-            node[0] = node[0][:-1] + "/"
-            stack[-1][1].extend([node, *kids])
+__all__ = ["clean", "infer", "marked", "prose_blocks", "render", "tidy"]
 
+#: Rows that are cleaned in one group, about.
+GROUP_ROWS = 4096
+#: How constructs are written, by name. Names not here keep their slots in place.
+_BLOCKS = {"html:p", "html:div", "html:section", "html:article", "html:blockquote", "html:body", "html:html", "html:dd", "html:dt", "html:dl", "html:figure"}
+_LISTS = {"html:ul": "- ", "html:ol": "1. ", "latex:env:itemize": "- ", "latex:env:enumerate": "1. "}
+_DROPPED = {"html:!", "html:script", "html:style", "html:head", "html:nav", "html:ref", "html:ref/", "html:img/", "rst:rule", "rst:::", "md:linkdef", "md:>", "latex:centering/", "latex:noindent/", "latex:par/", "latex:maketitle/"}
+_SILENT = {f"latex:{c}" for c in "cite citep citet ref eqref label footnote pageref index".split()}
+_NOTES = {"note", "warning", "tip", "rubric", "admonition", "versionadded", "versionchanged", "deprecated"}
+
+
+def render(parts: list, judge) -> str:
+    """Clean text of strings and trees; ``judge`` gives a tree's wrapper or None. What stands in a tree was taken with it."""
+    out = []
     for p in parts:
         if isinstance(p, str):
-            stack[-1][1].append(p)
-        elif p[0].endswith("<"):
-            stack.append((p, []))
-        elif ":/" in p[0] and len(p[0].split(":/", 1)[1]) > 0:
-            opened = p[0].replace(":/", ":", 1) + "<"
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0][0] == opened), 0)
-            if at:
-                close(at + 1)
-                node, kids = stack.pop()
-                node[0] = node[0][:-1]
-                node[1] = kids
-                stack[-1][1].append(node)
-            else:
-                stack[-1][1].append(p)
+            out.append(p)
+            continue
+        wrapper = judge(p)
+        if wrapper is not None:
+            out.append(_write(p, wrapper))
+        elif p[0] != "wiki:table" and any(judge(c) is not None for c in _inside(p)):
+            out.append(p[4][0] + render(p[1], judge) + p[4][1])
         else:
-            stack[-1][1].append(p)
-    close(1)
-    return stack[0][1]
+            out.append(p[3])
+    return "".join(out)
 
 
-# ---- wrappers: {"n": name, "c": children} with children [kind, wrapper or null for a slot, constant text or null], kind one of 1 ? + *
+def _inside(node: list):
+    """All trees in a tree."""
+    todo = [c for c in node[1] if not isinstance(c, str)]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [c for c in n[1] if not isinstance(c, str)]
 
 
-def generalise(node: list) -> dict:
-    """The wrapper of one construct: blank text goes, neighbours of a name become a repeated group."""
-    kids: list = []
-    for c in node[1]:
-        if isinstance(c, str):
-            if c.strip():
-                kids.append(["1", None, c.strip()])
-        else:
-            kids.append(["1", generalise(c), None])
-    return {"n": node[0], "c": _runs(kids)}
+def _part_of(wrapper: dict, name: str) -> dict | None:
+    """The wrapper of a child."""
+    return next((w for _, w, _ in wrapper["c"] if w and w["n"] == name), None)
 
 
-def _name(item: list) -> str:
-    return item[1]["n"] if item[1] else TEXT
+def _groups(wrapper: dict) -> set[str]:
+    """Children that the wrapper repeats; if it repeats none, because lists of one were all it saw, its marks."""
+    marks = [(kind, w["n"]) for kind, w, _ in wrapper["c"] if w]
+    return {n for kind, n in marks if kind in "+*"} or {n for _, n in marks}
 
 
-def _runs(kids: list) -> list:
-    out: list = []
-    for k in kids:
-        if out and _name(out[-1]) == _name(k):
-            merged = align(out[-1][1], k[1]) if k[1] else None
-            same = out[-1][2] if out[-1][2] == k[2] else None
-            out[-1] = ["1" if not k[1] else "*" if out[-1][0] in "?*" and k[0] in "?*" else "+", merged, same]
-        else:
-            out.append(list(k))
-    return out
-
-
-def _both(a: str, b: str, one_only: bool = False) -> str:
-    optional, repeated = one_only or a in "?*" or b in "?*", a in "+*" or b in "+*"
-    return "*" if optional and repeated else "?" if optional else "+" if repeated else "1"
-
-
-def align(a: dict, b: dict) -> dict:
-    """The least wrapper over both: children are aligned by name; what only one has becomes optional, different texts a slot."""
-    x, y = a["c"], b["c"]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _name(x[i]) == _name(y[j]) else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out: list = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and _name(x[i]) == _name(y[j]):
-            p, q = x[i], y[j]
-            out.append([_both(p[0], q[0]), align(p[1], q[1]) if p[1] else None, p[2] if p[2] == q[2] else None])
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([_both(x[i][0], x[i][0], True), x[i][1], x[i][2]])
-            i += 1
-        else:
-            out.append([_both(y[j][0], y[j][0], True), y[j][1], y[j][2]])
-            j += 1
-    return {"n": a["n"], "c": _runs(out)}
-
-
-def slots(wrapper: dict) -> dict:
-    """The wrapper with all constant texts turned into slots, its form without wording."""
-    return {"n": wrapper["n"], "c": [[k, slots(w) if w else None, None] for k, w, _ in wrapper["c"]]}
-
-
-def expression(wrapper: dict) -> str:
-    """The wrapper as a union-free regular expression."""
-    parts = []
-    for kind, w, constant in wrapper["c"]:
-        e = expression(w) if w else (json.dumps(constant) if constant is not None else TEXT)
-        parts.append(f"({e}){kind}" if kind != "1" else e)
-    return " ".join([f"<{wrapper['n']}>", *parts, f"</{wrapper['n']}>"]) if parts else f"<{wrapper['n']}/>"
-
-
-def match(wrapper: dict, node: list) -> bool:
-    """Whether a construct is of the wrapper's form."""
-    if node[0] != wrapper["n"]:
-        return False
-    kids = [c for c in node[1] if not isinstance(c, str) or c.strip()]
-    reached = {0}
-    for kind, w, _ in wrapper["c"]:
-        fits = lambda i: i < len(kids) and (match(w, kids[i]) if w and not isinstance(kids[i], str) else w is None and isinstance(kids[i], str))  # noqa: E731, B023
-        after = set(reached) if kind in "?*" else set()
-        for i in reached:
-            n = i
-            while fits(n):
-                n += 1
-                after.add(n)
-                if kind in "1?" and w is not None:
-                    break
-        reached = after
-        if not reached:
-            return False
-    return len(kids) in reached
-
-
-# ---- clean text
+def _slots(node: list, wrapper: dict) -> str:
+    """The slots of a tree in place."""
+    return "".join(_child(c, wrapper) for c in node[1])
 
 
-_BLOCKS = {"html:p", "html:div", "html:section", "html:article", "html:blockquote", "html:body", "html:html", "html:dd", "html:dt", "html:dl", "html:figure"}
-_LISTS = {"html:ul": "- ", "html:ol": "1. ", "latex:env:itemize": "- ", "latex:env:enumerate": "1. "}
-_DROPPED = {"html:!", "html:script", "html:style", "html:head", "html:nav", "html:ref", "html:ref/", "html:img/", "rst:rule", "rst:::", "md:linkdef", "md:>", "latex:centering/", "latex:noindent/", "latex:par/", "latex:maketitle/"}
+def _child(c, wrapper: dict) -> str:
+    if isinstance(c, str):
+        return c
+    return _write(c, _part_of(wrapper, c[0]) or generalise(c)) if is_construct(c) else c[3]
 
 
-def render(parts: list, accepted) -> str:
-    """Clean text of a list of strings and constructs. An outermost construct that ``accepted`` refuses keeps only its inner text."""
-    return "".join(p if isinstance(p, str) else _render(p, _taken) if accepted(p) else render(p[1], accepted) for p in parts)
+def _flat(node: list, wrapper: dict) -> str:
+    return " ".join(_slots(node, wrapper).split())
 
 
-def _taken(node: list) -> bool:
-    """What stands inside an accepted construct was matched with it."""
-    return True
+def _items(node: list, wrapper: dict) -> list[str]:
+    """One line for each member of the repeated group; what stands between them goes to the member before."""
+    repeated, lines = _groups(wrapper), []
+    for c in node[1]:
+        text = " ".join(_child(c, wrapper).split())
+        if not isinstance(c, str) and c[0] in repeated:
+            lines.append(text)
+        elif text:
+            lines[-1:] = [f"{lines[-1]} {text}".strip()] if lines else [text]
+    return lines
 
 
-def _flat(node: list, accepted) -> str:
-    return " ".join(render(node[1], accepted).split())
+def _rows(node: list, wrapper: dict) -> list[str]:
+    """Lines of the rows of a table, whatever holds them; a row's repeated group are its cells."""
+    lines = []
+    for c in node[1]:
+        if is_construct(c):
+            w = _part_of(wrapper, c[0]) or generalise(c)
+            if c[0] in ("html:tr", "wiki:row"):
+                cells = _groups(w)
+                lines.append("| " + " | ".join(_flat(x, _part_of(w, x[0]) or generalise(x)) for x in c[1] if is_construct(x) and (x[0] in cells or x[0].endswith(("td", "th", "cell")))) + " |")
+            elif c[0] == "html:caption":
+                lines.append(_flat(c, w))
+            else:
+                lines += _rows(c, w)
+    return lines
 
 
-def _render(node: list, accepted) -> str:
-    name, kids, data = node
+def _write(node: list, wrapper: dict) -> str:
+    name, _, data = node[:3]
     if name == "html:&":
         return data
-    if name in _DROPPED or name.startswith(("html:/", "latex:/", "wiki:{|", "wiki:|")):
-        return ""
-    if name in ("latex:cite", "latex:citep", "latex:citet", "latex:ref", "latex:eqref", "latex:label", "latex:footnote", "latex:pageref", "latex:index"):
+    if name in _DROPPED or name in _SILENT or name.startswith(("html:/", "latex:/", "wiki:{|", "wiki:|")):
         return ""
     if name in ("latex:math", "rst:math"):
         return f"${data}$"
     if name == "html:math":
-        return f"${''.join(render(kids, accepted).split())}$"
-    if name.startswith("latex:env:") and re.search(r":(equation|align|displaymath|math|gather|eqnarray)\*?$", name):
-        return f"\n$${render(kids, accepted).strip()}$$\n"
+        return f"${''.join(_slots(node, wrapper).split())}$"
+    if re.fullmatch(r"latex:env:(equation|align|displaymath|math|gather|eqnarray)\*?", name):
+        return f"\n$${_slots(node, wrapper).strip()}$$\n"
     if name in ("md:heading", "wiki:heading", "rst:title", "latex:heading") or re.fullmatch(r"html:h[1-6]|html:title|html:caption", name):
-        return f"\n{_flat(node, accepted)}\n"
-    if name == "html:pre" or (name.startswith("latex:env:") and re.search(r":(verbatim|lstlisting|minted)\*?$", name)):
-        return "\n```\n" + render(kids, accepted).strip("\n") + "\n```\n"
+        return f"\n{_flat(node, wrapper)}\n"
+    if name == "html:pre" or re.fullmatch(r"latex:env:(verbatim|lstlisting|minted)\*?", name):
+        return "\n```\n" + _slots(node, wrapper).strip("\n") + "\n```\n"
     if name in _LISTS:
-        lines = []
-        for c in kids:
-            if not isinstance(c, str) and c[0] in ("html:li", "html:li/", "latex:item/"):
-                lines.append("" if c[0] != "html:li" else _flat(c, accepted))
-            elif (isinstance(c, str) and c.strip()) or not isinstance(c, str):
-                text = " ".join((c if isinstance(c, str) else _render(c, accepted)).split())
-                if lines:
-                    lines[-1] = f"{lines[-1]} {text}".strip()
-                elif text:
-                    lines.append(text)
         mark = _LISTS[name]
-        return "\n" + "\n".join(f"{i + 1}. {x}" if mark == "1. " else mark + x for i, x in enumerate(lines)) + "\n"
+        return "\n" + "\n".join((f"{i}. " if mark == "1. " else mark) + line for i, line in enumerate(_items(node, wrapper), 1)) + "\n"
     if name in ("html:table", "wiki:table"):
-        rows: list = []
-
-        def walk(parts):
-            for c in parts:
-                if not isinstance(c, str):
-                    if c[0] in ("html:tr", "wiki:row"):
-                        rows.append("| " + " | ".join(_flat(x, accepted) for x in c[1] if not isinstance(x, str)) + " |")
-                    else:
-                        walk(c[1])
-
-        walk(kids)
-        return "\n" + "\n".join(rows) + "\n"
-    if name == "md:task":
-        return data
-    if name == "md:autolink":
+        return "\n" + "\n".join(_rows(node, wrapper)) + "\n"
+    if name in ("md:task", "md:autolink"):
         return data
     if name.startswith("rst:.."):
-        return {"math": f"\n${data}$\n" if data else "\n"}.get(name[6:], f"\n{data}\n" if data and name[6:] in ("note", "warning", "tip", "rubric", "admonition", "versionadded", "versionchanged", "deprecated") else "\n")
+        return (f"\n${data}$\n" if name[6:] == "math" else f"\n{data}\n" if name[6:] in _NOTES else "\n") if data else "\n"
     if name in ("html:br/", "html:hr/"):
         return "\n"
     if name == "latex:item/":
         return "- "
-    inner = render(kids, accepted)
+    inner = _slots(node, wrapper)
     return f"\n{inner.strip()}\n" if name in _BLOCKS else inner
 
 
 def tidy(text: str) -> str:
     """No blanks before line ends, no runs of spaces inside lines of prose, at most one blank line."""
     out, at = [], 0
-    for m in [*_FENCE.finditer(text), None]:
+    for m in [*FENCE.finditer(text), None]:
         plain = text[at : m.start() if m else len(text)]
         plain = re.sub(r"[ \t ]+$", "", re.sub(r"(?<=\S)[ \t ]{2,}(?=\S)", " ", plain), flags=re.M)
         out.append(re.sub(r"\n{3,}", "\n\n", plain))
@@ -432,92 +157,82 @@ def tidy(text: str) -> str:
     return "".join(out).strip()
 
 
-def constructs(parts: list) -> list:
-    """The outermost constructs of a text."""
-    return [p for p in parts if not isinstance(p, str)]
+def held(parts: list, judge) -> list[str]:
+    """Names of the outermost trees that are markup."""
+    names, todo = [], [p for p in reversed(parts) if not isinstance(p, str)]
+    while todo:
+        n = todo.pop()
+        if judge(n) is not None:
+            names.append(n[0])
+        else:
+            todo += [c for c in reversed(n[1]) if not isinstance(c, str)]
+    return names
 
 
 # ---- over tables
 
 
 def marked(rows: DataFrame, key: list[str], text: str = "text", url: str = "url") -> DataFrame:
-    """``key``, host, text and forms of every text that holds a construct; a form is the wrapper of one construct, without wording."""
+    """``key``, host, fold, text and forms (name, form) of every text with candidate trees."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://([^/:?#]+)", 1)), F.lit(""))
     possible = F.col(text).rlike(r"[<&*_~\[\]{}\\:`#>=|'.-]")
-    source = rows.select(*key, host.alias("host"), F.col(text).alias("text")).where(possible)
+    source = rows.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(key)], host.alias("host"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), F.col(text).alias("text")).where(possible)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    kind = pa.list_(pa.struct([("name", pa.string()), ("form", pa.string())]))
 
     def run(batches):
         for batch in batches:
-            keep, forms = [], []
+            keep, found = [], []
             for i, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = constructs(read(value))
-                if found:
+                mine = forms(candidates(value))
+                if mine:
                     keep.append(i)
-                    forms.append(sorted({json.dumps(slots(generalise(c)), separators=(",", ":")) for c in found}))
+                    found.append([{"name": n, "form": f} for n, f in sorted(mine)])
             kept = [c.take(pa.array(keep, pa.int64())) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(forms, pa.list_(pa.string()))], names=[*batch.schema.names, "forms"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], names=[*batch.schema.names, "forms"])
 
-    return source.mapInArrow(run, f"{fields}, forms array<string>")
+    return source.mapInArrow(run, f"{fields}, forms array<struct<name: string, form: string>>")
 
 
-def infer(marked_rows: DataFrame) -> DataFrame:
-    """host, name, wrapper (JSON), expression, n: one wrapper a host and kind of construct, aligned over all its forms.
+def clean(rows: DataFrame, key: list[str], text: str = "text", url: str = "url") -> DataFrame:
+    """``key``, clean_text, kinds (names of the outermost constructs, sorted), n_marks of every text with markup.
 
-    Forms are counted before the shuffle; only the distinct forms of a host and kind are aligned, most
-    frequent first. Many forms are first aligned in 16 parts, then the parts' wrappers.
-    """
-    forms = marked_rows.select("host", F.explode("forms").alias("form")).groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"))
-    named = forms.withColumn("name", F.get_json_object("form", "$.n")).withColumn("part", F.pmod(F.xxhash64("form"), F.lit(16)))
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("n").to_pylist(), table.column("form").to_pylist()), key=lambda r: (-r[0], r[1]))
-        wrapper = json.loads(rows[0][1])
-        for _, form in rows[1:]:
-            wrapper = align(wrapper, json.loads(form))
-        return pa.table({"host": table.column("host")[:1], "name": table.column("name")[:1], "form": [json.dumps(wrapper, separators=(",", ":"))], "n": pa.array([sum(r[0] for r in rows)], pa.int64()), "expression": [expression(wrapper)]})
-
-    schema = "host string, name string, form string, n long, expression string"
-    parts = named.groupBy("host", "name", "part").applyInArrow(merge, schema)
-    return parts.groupBy("host", "name").applyInArrow(merge, schema).select("host", "name", F.col("form").alias("wrapper"), "expression", "n")
-
-
-def clean(rows: DataFrame, key: list[str], text: str = "text", url: str = "url", salts: int = 64) -> DataFrame:
-    """``key``, clean_text, kinds (names of the constructs, sorted), n_marks of every text with markup.
-
-    Texts without markup, null and empty ones give no rows: they are clean. Wrappers are inferred from
-    all rows of the same host, so they take every construct. Rows of one host are spread over ``salts`` groups, so a host that holds most rows
-    is cleaned by many tasks. Repeated rows are cleaned each; a null url is a host of its own.
+    Texts without markup, null and empty ones give no rows: they are clean. A tree is markup if a wrapper of the same host, or of
+    all hosts, that was aligned over other folds takes it; so a form that stands in a single text of the whole table, and whose
+    family does too, stays text. A host's rows are cleaned in groups of about ``GROUP_ROWS``. Repeated rows are cleaned each;
+    a null url is a host of its own.
     """
     found = materialize(marked(rows, key, text, url), "marked")
-    wrappers = materialize(infer(found), "wrappers").groupBy("host").agg(F.sort_array(F.collect_list("wrapper")).alias("wrappers"))
-    spread = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = found.drop("forms").withColumn("salt", F.pmod(F.xxhash64(*key, "text"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"]).select(*key, "text", "wrappers")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(key)])
-
-    def run(batches):
-        known: dict[tuple, dict] = {}
-        for batch in batches:
-            texts, kinds, counts, keep = [], [], [], []
-            hosts = batch.column(batch.num_columns - 1).to_pylist()
-            for i, value in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
-                mine = tuple(hosts[i])
-                if mine not in known:
-                    known.clear()
-                    known[mine] = {w["n"]: w for w in map(json.loads, mine)}
-                wrapper = known[mine]
-                accepted = lambda node: node[0] in wrapper and match(wrapper[node[0]], node)  # noqa: E731, B023
-                parts = read(value)
-                held = [c for c in constructs(parts) if accepted(c)]
-                if held:
-                    keep.append(i)
-                    texts.append(tidy(render(parts, accepted)))
-                    kinds.append(sorted({c[0] for c in held}))
-                    counts.append(len(held))
-            kept = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[: len(key)]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(counts, pa.int32())], names=[*batch.schema.names[: len(key)], "clean_text", "kinds", "n_marks"])
-
-    return joined.mapInArrow(run, f"{fields}, clean_text string, kinds array<string>, n_marks int")
+    inferred = materialize(infer(found).where(F.col("fold") != ALL_FOLDS), "wrappers")
+    sizes = found.groupBy("host", "fold").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("salts"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    own = inferred.where(F.col("host") != EVERYWHERE).select("host", "fold", F.lit(True).alias("own"), "name", "wrapper")
+    every = sizes.select("host", "fold").join(inferred.where(F.col("host") == EVERYWHERE).select("fold", "name", "wrapper"), "fold").select("host", "fold", F.lit(False).alias("own"), "name", "wrapper")
+    known = salted(own.unionByName(every).join(sizes, ["host", "fold"])).select(*[F.col(c).alias(f"w_{c}") for c in ("host", "fold", "salt", "own", "name", "wrapper")])
+    texts = found.drop("forms").join(sizes, ["host", "fold"]).withColumn("salt", F.pmod(F.xxhash64("text", F.lit(5)), F.col("salts")).cast("int")).drop("salts")
+    keys = [f"key{i}" for i in range(len(key))]
+    fields = ", ".join(f"`{k}` {found.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        wrappers: dict[bool, dict] = {True: {}, False: {}}
+        for own, name, w in zip(*(right.column(f"w_{c}").to_pylist() for c in ("own", "name", "wrapper"))):
+            wrappers[own][name] = json.loads(w)
+        judge = Judge(wrappers[True], wrappers[False])
+        cleaned, kinds, counts, keep = [], [], [], []
+        for i, value in enumerate(left.column("text").to_pylist()):
+            parts = candidates(value)
+            names = held(parts, judge)
+            if names:
+                keep.append(i)
+                cleaned.append(tidy(render(parts, judge)))
+                kinds.append(sorted(set(names)))
+                counts.append(len(names))
+        kept = left.select(keys).take(pa.array(keep, pa.int64()))
+        return pa.table({k: kept.column(k) for k in keys} | {"clean_text": pa.array(cleaned, pa.string()), "kinds": pa.array(kinds, pa.list_(pa.string())), "n_marks": pa.array(counts, pa.int32())})
+
+    groups = ["host", "fold", "salt"]
+    out = texts.groupBy(*groups).cogroup(known.groupBy(*[f"w_{g}" for g in groups])).applyInArrow(run, f"{fields}, clean_text string, kinds array<string>, n_marks int")
+    return out.select(*[F.col(k).alias(name) for k, name in zip(keys, key)], "clean_text", "kinds", "n_marks")
 
 
 def prose_blocks(blocks: DataFrame) -> DataFrame:

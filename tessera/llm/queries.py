@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import table
-from . import bpe, knn, markup, neardup, packing, rankfusion, splitting, subjects
+from . import bpe, knn, markup, neardup, packing, rankfusion, splitting, subjects, wrappers
 
 #: Problem 1 as stated for chunks: three words, a similarity of 0.7, at least 20 words.
 CHUNK_COPIES = {"shingle": 3, "threshold": 0.7, "min_words": 20}
@@ -55,8 +55,8 @@ def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_wrappers(spark: SparkSession, folder: str) -> DataFrame:
-    """The wrappers inferred for each host."""
-    return markup.infer(markup.marked(table(spark, folder, "chunks"), ["chunk_id"])).select("host", "name", "expression", "n")
+    """The wrappers inferred for each host and, as host ``*``, for all."""
+    return markup.infer(markup.marked(table(spark, folder, "chunks"), ["chunk_id"])).where(F.col("fold") == wrappers.ALL_FOLDS).select("host", "name", "expression", "n")
 
 
 def _lists(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import base64
+import json
 import random
 import re
 
 import tiktoken
 
-from tessera.llm import bpe, markup, packing, rankfusion, splitting, subjects
+from tessera.llm import bpe, marks, markup, packing, rankfusion, splitting, subjects, wrappers
 
 
 def col(df, *cols):
@@ -157,43 +158,75 @@ MARKED = {
 }
 
 
+def trees(text):
+    return [p for p in marks.candidates(text) if wrappers.is_construct(p)]
+
+
+def own_judge(*texts):
+    """A judge with the wrappers of these texts."""
+    known: dict = {}
+    for t in texts:
+        for name, form in wrappers.forms(marks.candidates(t)):
+            w = json.loads(form)
+            known[name] = wrappers.align(known[name], w) if name in known else w
+    return wrappers.Judge(known, {})
+
+
 def test_marks_by_hand():
     for t in PLAIN:
-        assert not markup.constructs(markup.read(t)), t
+        assert not trees(t), t
     for t, want in MARKED.items():
-        parts = markup.read(t)
-        found = markup.constructs(parts)
-        assert found, t
-        assert all(markup.match(markup.slots(markup.generalise(c)), c) for c in found), t
-        assert markup.tidy(markup.render(parts, lambda n: True)) == want, t
+        judge, parts = own_judge(t), marks.candidates(t)
+        assert trees(t) and all(judge(c) is not None for c in trees(t)), t
+        assert markup.tidy(markup.render(parts, judge)) == want, t
+    assert not any(own_judge(t)(n) for t in PLAIN for n in marks.candidates(t) if not isinstance(n, str))
+
+
+def test_deep_marks():
+    """However deep tags are nested, all are found and none is left."""
+    text = "<div>" * 5000 + "x" + "</div>" * 4000
+    judge = own_judge(text)
+    assert markup.render(marks.candidates(text), judge).strip() == "x"
+    assert marks.candidates("{" * 3000 + "[" * 3000)
 
 
-def test_refused_construct_keeps_inner_text():
-    """``render`` asks ``accepted`` of the outermost constructs; what stands in an accepted one goes with it."""
-    parts = markup.read("a <ul><li>x</li><li>y</li></ul> b")
-    assert markup.render(parts, lambda n: n[0] == "html:ul") == "a \n- x\n- y\n b"
-    assert markup.render(parts, lambda n: False) == "a xy b"
+def test_wrappers_decide():
+    """Without a wrapper of another text nothing is markup; with one, texts that it never saw are."""
+    unseen = "a <ul><li>x</li><li>y <b>z</b></li></ul> b"
+    assert markup.render(marks.candidates(unseen), wrappers.Judge({}, {})) == unseen
+    one, two = "<ul><li>p</li></ul>", "<ul><li>p</li><li>q</li></ul>\nthe <b>r</b>"
+    assert markup.render(marks.candidates(unseen), own_judge(one, two)) == "a \n- x\n- y z\n b"
+    assert markup.render(marks.candidates(unseen), own_judge("<b>q</b>")) == "a \n- x\n- y z\n b"  # by the family of elements with a slot
+    assert markup.render(marks.candidates(unseen), own_judge("<br>")) == unseen
+    assert markup.render(marks.candidates("take *args, **kw of it"), own_judge("so *a b* c", "so **a b** c")) == "take *args, **kw of it"
 
 
 def test_wrapper_inference():
     """Different texts become slots, what one lacks is optional, alike neighbours repeat; a wrapper takes all it came from."""
-    trees = [markup.constructs(markup.read(t))[0] for t in ("<ul><li>a</li></ul>", "<ul><li>b <b>c</b></li><li>d</li></ul>", "<ul>x<li>a</li></ul>")]
-    w = markup.generalise(trees[0])
-    assert markup.expression(w) == '<html:ul> <html:li> "a" </html:li> </html:ul>'
-    for t in trees[1:]:
-        w = markup.align(w, markup.generalise(t))
-    assert markup.expression(w) == '<html:ul> ("x")? (<html:li> #TEXT (<html:b> "c" </html:b>)? </html:li>)+ </html:ul>'
-    assert all(markup.match(w, t) for t in trees)
-    assert not markup.match(w, markup.constructs(markup.read("<ul><b>x</b></ul>"))[0])
+    found = [trees(t)[0] for t in ("<ul><li>a</li></ul>", "<ul><li>b <b>c</b></li><li>d</li></ul>", "<ul>x<li>a</li></ul>")]
+    w = wrappers.generalise(found[0])
+    assert wrappers.expression(w) == '<html:ul> <html:li> "a" </html:li> </html:ul>'
+    for t in found[1:]:
+        w = wrappers.align(w, wrappers.generalise(t))
+    assert wrappers.expression(w) == '<html:ul> ("x")? (<html:li> #TEXT (<html:b> "c" </html:b>)? </html:li>)+ </html:ul>'
+    assert all(wrappers.match(w, t) for t in found)
+    assert not wrappers.match(w, trees("<ul><b>x</b></ul>")[0])
 
 
 def test_clean(spark):
-    rows = [(f"m{i}", f"https://H{i % 2}.example/a", t) for i, t in enumerate(MARKED)] + [(f"p{i}", None, t) for i, t in enumerate(PLAIN)] + [("n", "https://h.example", None), ("m0", "https://H0.example/a", next(iter(MARKED))), ("z", None, "the <b>x</b>")]
+    """Each form stands in several texts of a host; the clean text of each is made with wrappers of the others. Plain texts give no rows."""
+    tail = lambda i, t: f"{t}\n\nWords number {i}."
+    rows = [(f"m{i}-{j}", "https://H0.example/a", tail(j, t)) for i, t in enumerate(MARKED) for j in range(4)] + [(f"p{i}", "https://h0.example", t) for i, t in enumerate(PLAIN)]
+    rows += [("n", "https://h.example", None), ("m0-0", "https://H0.example/a", tail(0, next(iter(MARKED)))), ("z", None, "the <b>x</b>"), (None, "https://h0.example", "all of <b>it</b>")]
     df = spark.createDataFrame([(i, u, t, "k", 3) for i, u, t in rows], "chunk_id string, url string, text string, host string, salt int")
-    got = col(markup.clean(df, ["chunk_id"]), "chunk_id", "clean_text")
-    assert got == sorted([(f"m{i}", w) for i, w in enumerate(MARKED.values())] + [("m0", next(iter(MARKED.values()))), ("z", "the x")])
+    got = {(x["chunk_id"], x["clean_text"]) for x in markup.clean(df, ["chunk_id"]).collect()}
+    want = {(f"m{i}-{j}", markup.tidy(tail(j, w))) for i, w in enumerate(MARKED.values()) for j in range(4)} | {("z", "the x"), (None, "all of it")}
+    assert got == want, got ^ want
     assert markup.clean(df.limit(0), ["chunk_id"]).count() == 0
-    assert markup.infer(markup.marked(df, ["chunk_id"])).where("host = 'h0.example'").count() > 5
+    inferred = markup.infer(markup.marked(df, ["chunk_id"]))
+    assert inferred.where("host = 'h0.example' AND fold >= 0").count() > 5
+    alone = df.where("chunk_id = 'z'")
+    assert markup.clean(alone, ["chunk_id"]).count() == 0  # no other text vouches for it
 
 
 WORDS = {
