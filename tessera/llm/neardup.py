@@ -4,35 +4,36 @@ A text is its set of shingles (runs of consecutive words). SuperMinHash gives ev
 permutation of the signature's slots and one random fraction a slot; a slot keeps the least
 rank + fraction over the shingles. Ranks are dealt level by level for all shingles of a batch at
 once, and a text is left as soon as each of its slots is filled: no later level can be smaller.
-Slots are then used in disjoint bands; texts that agree on a band are candidates.
-
-Texts with the same words are one class, kept once. A bucket of a band is never paired whole when
-it is large: the members of large buckets are split by their rarest shingles, of which two texts at
-the threshold must share one, so no link is lost. Every candidate is verified on the shingle sets.
+Slots are then used in disjoint bands; texts that agree on a band share a bucket and are candidates.
+
+Texts with the same words are one class, kept once. In each bucket the least class leads: first every member is
+verified against its leaders, work in proportion to the members. Two things follow without comparing the rest.
+Groups: members that these links join are joined for good, so only pairs of a bucket that are still in different groups are
+verified. Pairs: the Jaccard distance is a metric, so two members whose distances to one leader add up to no
+more than the threshold allows are a link; the others of a bucket are verified. Neither loses a
+link that a bucket shows, at any size, and there is no limit on a bucket.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.ranking import top_n
-from ..plans.shared import materialize
+from ..plans.shared import materialize, release
 from .arrow import int_lists
 
-#: What counts as a word, in lower case.
-WORD = "[a-z0-9_]+"
+#: Fixed value: what counts as a word of chunks, in lower case; in general letters, marks and digits of any script.
+CHUNK_WORD, WORD = "[a-z0-9_]+", r"[\p{L}\p{M}\p{N}_]+"
 #: Signature: bands times rows of a band. At a similarity of 0.7 a pair shares no band with a chance of 2e-5.
 BANDS, BAND_ROWS = 40, 4
-#: Texts whose words take part, and the similarity of a link, for chunks; the general rule is five words and 0.8.
+#: Texts whose words take part, and the similarity of a link: the general rule of five words and 0.8.
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 1
-#: Members of a bucket that are paired directly; larger buckets are split by rare shingles.
-BUCKET_ROWS = 64
-#: Rows of a class of exact copies that are listed pair by pair; of a larger class each row is listed with the class's representative.
-COPIES_IN_FULL = 64
+#: Rows of one side of a group that meet the whole group in one task.
+BLOCK_ROWS = 1024
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -87,8 +88,8 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def words(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def words(text: str | Column, word: str = WORD) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
 
 
 def shingle_sets(word_lists: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +132,28 @@ def shingle_sets(word_lists: list[list[str]], size: int) -> tuple[np.ndarray, np
     return h[first], o[first]
 
 
-def classes(items: DataFrame, item: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Found:
+    """What is known after every member of a bucket met its leaders; ``vid`` numbers the classes.
+
+    members: item, vid. signatures: vid, class_id, shingles, buckets. shared: bucket, vid, leader, n (members), of buckets of two
+    and more. stars: a (leader), b, similarity: the verified links of leaders.
+    """
+
+    members: DataFrame
+    signatures: DataFrame
+    shared: DataFrame
+    stars: DataFrame
+    threshold: float
+
+
+def classes(items: DataFrame, item: str, text: str, min_words: int, word: str = WORD) -> tuple[DataFrame, DataFrame]:
     """(item, class_id) of every row that takes part, and (class_id, words) of every class.
 
     A class is one sequence of words, named by 128 bits of its hash; null items and texts and texts of
     fewer than ``min_words`` words take no part. Repeated rows count once.
     """
-    rows = items.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("words")).where(F.col("item").isNotNull() & (F.size("words") >= max(1, min_words)))
+    rows = items.select(F.col(item).cast("string").alias("item"), words(F.col(text), word).alias("words")).where(F.col("item").isNotNull() & (F.size("words") >= max(1, min_words)))
     named = rows.select("item", F.concat(F.hex(F.xxhash64("words")), F.lit("-"), F.hex(F.xxhash64(F.lit(11), "words"))).alias("class_id"), "words")
     return named.select("item", "class_id").distinct(), named.groupBy("class_id").agg(F.first("words").alias("words"))
 
@@ -169,81 +185,87 @@ def _in_pieces(h: np.ndarray, o: np.ndarray, n: int, slots: int, most: int = 200
     return out
 
 
-def candidates(signatures: DataFrame, threshold: float, bucket_rows: int) -> DataFrame:
-    """Distinct class pairs (a < b) that share a small bucket of a band, or a rare shingle if both are in large buckets."""
-    placed = signatures.select("class_id", F.explode("buckets").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = placed.join(sizes.where(F.col("n") <= bucket_rows).select("bucket"), "bucket")
-    pairs = _pairs(small.groupBy("bucket").agg(F.collect_list("class_id").alias("ids")))
-
-    # members of large buckets are joined once, on each one's first (1 - threshold) n + 1 shingles, rarest first:
-    # two sets at the threshold share one of these, whatever buckets they are in
-    crowded = placed.join(sizes.where(F.col("n") > bucket_rows).select("bucket"), "bucket").select("class_id").distinct()
-    each = crowded.join(signatures.select("class_id", "shingles"), "class_id").select("class_id", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    order = W.partitionBy("class_id").orderBy("df", "shingle")
-    prefix = F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9)) + 1
-    ranked = each.join(counts, "shingle").withColumn("at", F.row_number().over(order))
-    keyed = ranked.where((F.col("at") <= prefix) & (F.col("df") > 1)).select("shingle", "class_id", "m")
-    left = keyed.select("shingle", F.col("class_id").alias("a"), F.col("m").alias("ma"))
-    right = keyed.select("shingle", F.col("class_id").alias("b"), F.col("m").alias("mb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("ma", "mb") >= F.greatest("ma", "mb") * F.lit(threshold) - F.lit(1e-9))
-    more = left.join(right, "shingle").where(fits).select("a", "b")
-    return pairs.unionByName(more).distinct()
-
-
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Pairs of each bounded list ``ids``."""
-    ids = F.array_sort("ids")
-    return groups.select(ids.alias("ids")).select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
-
-
-def class_links(signatures: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """a, b, similarity: pairs of classes whose shingle sets reach ``threshold``, each verified exactly."""
-    sets = signatures.select("class_id", "shingles")
-    pairs = candidates(signatures, threshold, bucket_rows)
-    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
+def blocked_pairs(rows: DataFrame, key: str, vid: str, keep: list[str], size: str = "n", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs a < b (of ``vid``) of rows with the same ``key``, and their ``keep`` columns as a_..., b_...; ``size`` is the key's number of rows.
+
+    A large group is cut into blocks, each of which meets the whole group in a task of its own.
+    """
+    n_blocks = F.ceil(F.col(size) / block_rows).cast("int")
+    a = rows.select(F.col(key).alias("_key"), F.pmod(F.xxhash64(vid, F.lit(3)), n_blocks).cast("int").alias("_block"), F.col(vid).alias("a"), *[F.col(c).alias(f"a_{c}") for c in keep])
+    b = rows.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_block"), F.col(vid).alias("b"), *[F.col(c).alias(f"b_{c}") for c in keep])
+    return a.join(b, ["_key", "_block"]).where("a < b")
+
+
+def verified(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of the pairs of classes whose shingle sets reach ``threshold``."""
+    sets = signatures.select("vid", "shingles")
+    both = pairs.select("a", "b").join(sets.select(F.col("vid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("vid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.where(F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * F.lit(threshold) - F.lit(1e-9))
     common = F.size(F.array_intersect("sa", "sb"))
     similar = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("s")).withColumn("similarity", F.col("c") / (F.col("s") - F.col("c")))
     return similar.where(F.col("similarity") >= F.lit(threshold) - F.lit(1e-12)).select("a", "b", "similarity")
 
 
-def find(items: DataFrame, item: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): item to class_id, and the verified links between different classes.
+def find(items: DataFrame, item: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, word: str = WORD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> Found:
+    """Classes, buckets and the links of their leaders, from which ``groups`` and ``similar_pairs`` go on.
 
-    Null items and texts and texts below ``min_words`` are in neither. An item with several texts is a
+    Null items and texts and texts below ``min_words`` take no part. An item with several texts is a
     member of several classes. Empty tables give empty results; further columns are ignored.
     """
-    members, texts = classes(items, item, text, min_words)
-    signatures = materialize(signed(texts, shingle, bands, band_rows), "signatures")
-    links = materialize(class_links(signatures, threshold, bucket_rows), "links")
-    return members, links
-
-
-def similar_pairs(members: DataFrame, links: DataFrame, copies_in_full: int = COPIES_IN_FULL) -> DataFrame:
-    """chunk_id_a, chunk_id_b, smaller first, once each: the links between rows.
-
-    Classes of up to ``copies_in_full`` copies are listed pair by pair. Of a larger class every copy is
-    listed with the representative (its smallest item), and other texts are linked with the
-    representative: the same links in a form that stays in proportion to the rows.
+    members, texts = classes(items, item, text, min_words, word)
+    signatures = materialize(signed(texts, shingle, bands, band_rows).withColumn("vid", F.monotonically_increasing_id()), "signatures")
+    placed = signatures.select("vid", F.explode("buckets").alias("bucket"))
+    leaders = placed.groupBy("bucket").agg(F.min("vid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(placed.join(leaders, "bucket").select("bucket", "vid", "leader", "n"), "shared")
+    led = shared.where("vid <> leader").select(F.col("leader").alias("a"), F.col("vid").alias("b")).distinct()
+    stars = materialize(verified(led, signatures, threshold), "stars")
+    numbered = materialize(members.join(signatures.select("class_id", "vid"), "class_id").select("item", "vid"), "members")
+    return Found(numbered, signatures, shared, stars, threshold)
+
+
+def class_links(found: Found, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: all pairs of classes at the threshold.
+
+    Each class belongs to one leader that it has a link with, to a near one if it can. Pairs under one leader whose distances add up to at
+    most 1 - threshold are links by the triangle inequality; all other pairs of a bucket are verified.
+    """
+    most = 1 - found.threshold - 1e-9
+    far = F.col("similarity") < (1 + found.threshold) / 2
+    best = found.stars.groupBy(F.col("b").alias("vid")).agg(F.min(F.struct(far.alias("far"), F.when(far, -F.col("similarity")).otherwise(0.0).alias("last"), F.col("a").alias("head"), (1 - F.col("similarity")).alias("distance"))).alias("s"))
+    led = best.select("vid", "s.head", "s.distance")
+    # a leader that has none itself is its own
+    own = led.select(F.col("head").alias("vid")).distinct().join(led.select("vid"), "vid", "left_anti").select("vid", F.col("vid").alias("head"), F.lit(0.0).alias("distance"))
+    homes = materialize(led.unionByName(own), "homes")
+    near = (F.col("a_distance") + F.col("b_distance")) <= most
+    sizes = homes.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    implied = blocked_pairs(homes.join(sizes, "head"), "head", "vid", ["distance"], block_rows=block_rows).where(near).select("a", "b")
+    rows = found.shared.join(homes, "vid", "left").select("bucket", "vid", "n", F.coalesce("head", "vid").alias("head"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    # which leaders are no home says the leaders' own distances; a class without a home shares none
+    asked = blocked_pairs(rows, "bucket", "vid", ["head", "distance"], block_rows=block_rows).where(~((F.col("a_head") == F.col("b_head")) & near)).select("a", "b").distinct()
+    return implied.unionByName(verified(asked, found.signatures, found.threshold).select("a", "b"))
+
+
+def similar_pairs(found: Found, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """chunk_id_a, chunk_id_b, smaller first, once each: every pair of items, copies among them, at any size of a class.
+
+    The result has as many rows as there are pairs, which a class of n copies alone makes n (n - 1) / 2; ``groups`` gives the
+    same in proportion to the items.
     """
-    members = materialize(members, "members")
-    heads = members.groupBy("class_id").agg(F.min("item").alias("head"), F.count(F.lit(1)).alias("n"))
-    full = members.join(heads.where((F.col("n") > 1) & (F.col("n") <= copies_in_full)).select("class_id"), "class_id")
-    inside = _pairs(full.groupBy("class_id").agg(F.collect_list("item").alias("ids")))
-    star = members.join(heads.where(F.col("n") > copies_in_full).select("class_id", "head"), "class_id").select(F.col("head").alias("a"), F.col("item").alias("b"))
-    shown = members.join(heads.where(F.col("n") <= copies_in_full).select("class_id"), "class_id").select("class_id", "item").unionByName(heads.where(F.col("n") > copies_in_full).select("class_id", F.col("head").alias("item")))
-    across = links.join(shown.select(F.col("class_id").alias("a"), F.col("item").alias("x")), "a").join(shown.select(F.col("class_id").alias("b"), F.col("item").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rows = inside.unionByName(star).unionByName(across).where("a <> b")
+    sizes = found.members.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
+    inside = blocked_pairs(found.members.join(sizes.where("n > 1"), "vid"), "vid", "item", [], block_rows=block_rows).select("a", "b")
+    links = class_links(found, block_rows)
+    across = links.join(found.members.select(F.col("vid").alias("a"), F.col("item").alias("x")), "a").join(found.members.select(F.col("vid").alias("b"), F.col("item").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = inside.unionByName(across).where("a <> b")
     return rows.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
 
 
 def forest(edges: DataFrame) -> DataFrame:
     """Union-find within each partition: its edges become (node, root), one row a node other than the root."""
+    kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches):
-        parent: dict[str, str] = {}
+        parent: dict = {}
+        arrow = None
 
         def root(x):
             while parent.setdefault(x, x) != x:
@@ -252,6 +274,7 @@ def forest(edges: DataFrame) -> DataFrame:
             return x
 
         for batch in batches:
+            arrow = batch.schema.field(0).type
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a, b = root(a), root(b)
                 if a != b:
@@ -260,16 +283,16 @@ def forest(edges: DataFrame) -> DataFrame:
         rows = [(x, r) for x, r in rows if x != r]
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([r for _, r in part], pa.string())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], arrow), pa.array([r for _, r in part], arrow)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a string, b string")
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """class_id, group_id (the smallest class) of every class with a link.
+    """vid, root (the smallest of its component) of every node with a link.
 
     Union-find runs inside partitions, then large-star and small-star steps join the partial trees
-    until nothing changes; each step is written, so lineage stays short, and only a count is collected.
+    until nothing changes; each step is written and the one before deleted, and only a count is collected.
     """
     edges = materialize(forest(links.where("a <> b")), "forest")
     while True:
@@ -281,17 +304,31 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = materialize(small, "stars")
+        new = materialize(small, "trees")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        release(edges)
         edges = new
         if not changed:
             break
-    roots = edges.select("b").distinct().select(F.col("b").alias("class_id"), F.col("b").alias("group_id"))
-    return edges.select(F.col("a").alias("class_id"), F.col("b").alias("group_id")).unionByName(roots)
+    return edges.select(F.col("a").alias("vid"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("vid"), F.col("b").alias("root")).distinct())
 
 
-def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """item, class_id, group_id, n_links (to other classes): one row an item and class; a class without links is its own group."""
-    degree = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = components(links).join(degree, "class_id")
-    return members.join(known, "class_id", "left").select("item", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def groups(found: Found, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """item, class_id, group_id (the smallest class_id of the group): one row an item and class; a class without links is its own group.
+
+    The leaders' links give a first grouping; of each bucket only pairs still in different groups are verified, which
+    joins what the leaders left apart. In proportion to the items, however many texts are nearly alike.
+    """
+    first = materialize(components(found.stars), "first")
+    tagged = materialize(found.shared.join(first, "vid", "left").select("bucket", "vid", F.coalesce("root", "vid").alias("root")), "tagged")
+    mixed = tagged.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("bucket", "n")
+    open_pairs = blocked_pairs(tagged.join(mixed, "bucket"), "bucket", "vid", ["root"], block_rows=block_rows).where("a_root <> b_root").select("a", "b").distinct()
+    tried = found.shared.select(F.col("leader").alias("a"), F.col("vid").alias("b")).distinct()
+    more = materialize(verified(open_pairs.join(tried, ["a", "b"], "left_anti"), found.signatures, found.threshold), "more")
+    # links between first groups, by their roots, and the groups that they join
+    named = lambda c: first.select(F.col("vid").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    second = materialize(components(lifted).select(F.col("vid").alias("root"), F.col("root").alias("top")), "second")
+    tops = found.signatures.select("vid", "class_id").join(first, "vid", "left").withColumn("root", F.coalesce("root", "vid")).join(second, "root", "left").select("vid", "class_id", F.coalesce("top", "root").alias("top"))
+    names = tops.groupBy("top").agg(F.min("class_id").alias("group_id"))
+    return found.members.join(tops.join(names, "top"), "vid").select("item", "class_id", "group_id")

@@ -11,22 +11,22 @@ from ..plans.shared import table
 from . import bpe, knn, markup, neardup, packing, rankfusion, splitting, subjects, wrappers
 
 #: Problem 1 as stated for chunks: three words, a similarity of 0.7, at least 20 words.
-CHUNK_COPIES = {"shingle": 3, "threshold": 0.7, "min_words": 20}
+CHUNK_COPIES = {"shingle": 3, "threshold": 0.7, "min_words": 20, "word": neardup.CHUNK_WORD}
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks with nearly the same text."""
-    return neardup.similar_pairs(*neardup.find(table(spark, folder, "chunks"), **CHUNK_COPIES))
+    return neardup.similar_pairs(neardup.find(table(spark, folder, "chunks"), **CHUNK_COPIES))
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each chunk's class of equal texts, group of nearly equal texts and number of links to other classes."""
-    return neardup.groups(*neardup.find(table(spark, folder, "chunks"), **CHUNK_COPIES)).withColumnRenamed("item", "chunk_id")
+    """Each chunk's class of equal texts and group of nearly equal texts."""
+    return neardup.groups(neardup.find(table(spark, folder, "chunks"), **CHUNK_COPIES)).withColumnRenamed("item", "chunk_id")
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The same for documents under the general rule, five words and 0.8."""
-    return neardup.groups(*neardup.find(table(spark, folder, "documents"), item="doc_id")).withColumnRenamed("item", "doc_id")
+    return neardup.groups(neardup.find(table(spark, folder, "documents"), item="doc_id")).withColumnRenamed("item", "doc_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

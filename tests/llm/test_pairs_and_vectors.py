@@ -47,22 +47,22 @@ EXTRA = [("n1", None), ("n2", ""), (None, "a b c"), ("n3", "one two"), ("n4", "O
 
 
 def test_pairs_equal_brute_force(spark):
-    """Both ways of finding candidates give all pairs: small buckets paired, large ones split by rare shingles."""
+    """Pairs under a leader and pairs of a bucket, in one block or many, give all pairs."""
     rows = corpus() + EXTRA + corpus()[:5]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "chunk_id string, text string, bucket int")
     for size, threshold, least in ((3, 0.7, 20), (5, 0.8, 1)):
         want = brute(rows, size, threshold, least)
-        for bucket_rows in (64, 2):
-            members, links = neardup.find(df, shingle=size, threshold=threshold, min_words=least, bucket_rows=bucket_rows)
-            assert set(col(neardup.similar_pairs(members, links), "chunk_id_a", "chunk_id_b")) == want
+        found = neardup.find(df, shingle=size, threshold=threshold, min_words=least, word=neardup.CHUNK_WORD)
+        for block_rows in (1024, 2):
+            got = col(neardup.similar_pairs(found, block_rows), "chunk_id_a", "chunk_id_b")
+            assert set(got) == want and len(got) == len(want)
 
 
 def test_groups_are_components(spark):
     rows = corpus(2) + EXTRA
     df = spark.createDataFrame(rows, "chunk_id string, text string")
-    members, links = neardup.find(df, shingle=3, threshold=0.7, min_words=20)
     got = {}
-    for r in neardup.groups(members, links).collect():
+    for r in neardup.groups(neardup.find(df, shingle=3, threshold=0.7, min_words=20, word=neardup.CHUNK_WORD)).collect():
         got.setdefault(r["group_id"], set()).add(r["item"])
     parent = {i: i for i, _ in rows if i}
 
@@ -78,20 +78,38 @@ def test_groups_are_components(spark):
     assert sorted(sorted(s - {"a000"}) for s in got.values() if s - {"a000"}) == sorted(map(sorted, want.values()))
 
 
-def test_hot_class_stays_in_proportion(spark):
-    """A third of the rows with one text: listed with its representative, every row linked, near texts linked too."""
+def test_copies_at_any_size(spark):
+    """All pairs of 65 and more copies, every near text linked with each; one row an item in the groups."""
     text = " ".join(f"w{i}" for i in range(40))
-    rows = [(f"h{i:03d}", text) for i in range(100)] + [("x", text + " more")] + [(f"o{i}", f"other {i} " * 20) for i in range(10)]
-    members, links = neardup.find(spark.createDataFrame(rows, "chunk_id string, text string"), shingle=3, threshold=0.7, min_words=20)
-    got = col(neardup.similar_pairs(members, links), "chunk_id_a", "chunk_id_b")
-    assert got == sorted([("h000", f"h{i:03d}") for i in range(1, 100)] + [("h000", "x")])
-    g = neardup.groups(members, links)
-    assert g.select("group_id").distinct().count() == 11
+    rows = [(f"h{i:03d}", text) for i in range(65)] + [("x", text + " more")] + [(f"o{i}", f"other {i} " * 20) for i in range(10)]
+    found = neardup.find(spark.createDataFrame(rows, "chunk_id string, text string"), shingle=3, threshold=0.7, min_words=20)
+    assert neardup.similar_pairs(found, 16).count() == 65 * 64 // 2 + 65
+    g = neardup.groups(found)
+    assert g.count() == 76 and g.select("group_id").distinct().count() == 11
+
+
+def test_texts_of_one_template(spark):
+    """Nearly equal texts stay in proportion: few pairs beside those with a leader are verified, and none is lost."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(f"t{i:04d}", " ".join(base[:60] + [f"n{i}"] + base[60:])) for i in range(400)] + [(f"s{i}", " ".join(r.choices(base, k=80))) for i in range(5)]
+    found = neardup.find(spark.createDataFrame(rows, "chunk_id string, text string"), shingle=3, threshold=0.7, min_words=20)
+    assert neardup.similar_pairs(found).count() == 400 * 399 // 2
+    groups = sorted(r["count"] for r in neardup.groups(found).groupBy("group_id").count().collect())
+    assert groups == [1] * 5 + [400]
+    assert found.stars.count() < 400 * 12
+
+
+def test_other_scripts(spark):
+    """In general words are of any script."""
+    a = "съешь ещё этих мягких французских булок да выпей же чаю"
+    found = neardup.find(spark.createDataFrame([("a", a), ("b", a.upper()), ("c", "другой текст")], "chunk_id string, text string"))
+    assert col(neardup.similar_pairs(found), "chunk_id_a", "chunk_id_b") == [("a", "b")]
 
 
 def test_empty_pairs(spark):
-    members, links = neardup.find(spark.createDataFrame([], "chunk_id string, text string"))
-    assert neardup.similar_pairs(members, links).count() == 0 and neardup.groups(members, links).count() == 0
+    found = neardup.find(spark.createDataFrame([], "chunk_id string, text string"))
+    assert neardup.similar_pairs(found).count() == 0 and neardup.groups(found).count() == 0
 
 
 def test_super_minhash_estimates():
