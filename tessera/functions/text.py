@@ -43,11 +43,6 @@ def short_identifiers(text: str | Column) -> Column:
     return F.regexp_replace(_c(text), r"\b(?:[A-Za-z_][A-Za-z0-9_]*\.)+([A-Za-z_][A-Za-z0-9_]*)\b", "$1")
 
 
-def text_signature(texts: Column) -> Column:
-    """Hash of an ordered array of texts, joined by line feeds, without the paths of identifiers."""
-    return F.sha2(short_identifiers(F.array_join(texts, "\n", "")), 256)
-
-
 def path_segments(url: str | Column) -> Column:
     """Dotted segments of a URL's last path part, without ``.html`` and then ``_class``; empty for an empty part."""
     last = F.element_at(F.split(F.regexp_replace(_c(url), "/+$", ""), "/"), -1)

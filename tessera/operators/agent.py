@@ -75,6 +75,33 @@ def agent_search(subs: DataFrame, search: Callable[[DataFrame, int], DataFrame],
     return fusion.fuse(runs, pages, {str(i): i for i in range(MAX_SUB_QUERIES)}, k, depth=depth, compact=True)
 
 
+def traces(routed: DataFrame, subs: DataFrame, responses: DataFrame, timings: DataFrame) -> DataFrame:
+    """One row a query of a routed search, the columns that ``summarize_traces`` reads.
+
+    routed and subs as of ``route`` and ``sub_queries``; responses: query_id, prompt_tokens, completion_tokens, seconds, cached, one row a
+    model call; timings: query_id, retrieval_seconds. A query without calls or timing has zeros.
+    """
+    parts = subs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sub_queries"), F.max("decompose_fallback").alias("decompose_fallback"))
+    calls = responses.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("llm_calls"), F.count_if("cached").alias("cache_hits"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("seconds").alias("llm_seconds")
+    )
+    spent = timings.groupBy("query_id").agg(F.sum("retrieval_seconds").alias("retrieval_seconds"))
+    rows = routed.join(parts, "query_id", "left").join(calls, "query_id", "left").join(spent, "query_id", "left")
+    rows = rows.na.fill(0, ["n_sub_queries", "llm_calls", "cache_hits", "prompt_tokens", "completion_tokens", "llm_seconds", "retrieval_seconds"]).na.fill(False, ["decompose_fallback"])
+    return rows.withColumn("total_seconds", F.col("llm_seconds") + F.col("retrieval_seconds"))
+
+
+def trace_report(summary: DataFrame) -> list[str]:
+    """Lines of the one row that ``summarize_traces`` gives."""
+    r = summary.first()
+    share = lambda a, b: f"{a} of {b}" + (f" ({a / b:.0%})" if b else "")
+    lines = [f"queries {r['n']}: decomposed {r['route_decompose']}, direct {r['route_direct']}", f"unreadable verdicts {share(r['route_fallbacks'], r['n'])}, unreadable parts {share(r['decompose_fallbacks'], r['route_decompose'])}"]
+    lines.append(f"sub-queries {r['sub_queries_total']}, model calls {r['llm_calls']} ({r['cache_hits']} cached), tokens {r['prompt_tokens']} in and {r['completion_tokens']} out")
+    for name in ("llm", "retrieval", "total"):
+        lines.append(f"{name:<10}" + "".join(f"{s} {r[f'{name}_{s}_s'] or 0.0:>9.3f}  " for s in ("mean", "median", "max", "sum")).rstrip())
+    return [*lines, f"the model's share of the time {r['model_share']:.1%}"]
+
+
 def summarize_traces(traces: DataFrame) -> DataFrame:
     """One row over traces (route, route_fallback, decompose_fallback, n_sub_queries, llm_calls, cache_hits, tokens, llm_seconds, retrieval_seconds).
 

@@ -50,7 +50,10 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame, include_unju
     Every query meets every system, so a query without results scores 0; queries without judgments are
     left out unless asked for. Ceilings are null where nothing is relevant. Units repeated in a run count once.
     """
-    names = systems if systems is not None else sorted(r["system"] for r in run.select("system").where("system IS NOT NULL").distinct().collect())  # a handful
+    if systems is not None:
+        names = run.sparkSession.createDataFrame([(systems,)], "_systems array<string>")
+    else:
+        names = run.agg(F.array_sort(F.collect_set("system")).alias("_systems"))  # one row, of a handful of names
     judged = qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("judged"), F.count_if(F.col("grade") > 0).alias("n_relevant"))
     asked = queries.select("query_id", "category").join(judged, "query_id", "left" if include_unjudged else "inner").na.fill(0, ["judged", "n_relevant"])
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1)
@@ -59,7 +62,8 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame, include_unju
     found = hits.groupBy("system", "query_id").agg(
         *[F.count_if(F.col("rank") <= k).alias(f"_hits_{k}") for k in RECALL_KS], F.min("rank").alias("_first"), F.sum(F.when(F.col("rank") <= NDCG_K, gain(F.col("grade"), F.col("rank")))).alias("_dcg")
     )
-    rows = asked.withColumn("system", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>"))).join(found, ["system", "query_id"], "left").join(ideal, "query_id", "left")
+    every = asked.crossJoin(F.broadcast(names)).withColumn("system", F.explode("_systems")).drop("_systems")
+    rows = every.join(found, ["system", "query_id"], "left").join(ideal, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     relevant = F.nullif(F.col("n_relevant").cast("double"), F.lit(0.0))
     return rows.select(

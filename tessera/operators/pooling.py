@@ -51,6 +51,14 @@ def delta_counts(pool: DataFrame, judged: DataFrame, queries: DataFrame) -> Data
     return queries.select("query_id", "category").join(n, "query_id", "left").na.fill(0, ["n_new", "n_already_judged"])
 
 
+def delta_totals(counts: DataFrame) -> DataFrame:
+    """query_id (null for all), category, n_new, n_already_judged, pooled, n_queries, n_empty (queries with nothing new), from ``delta_counts``."""
+    out = counts.groupingSets([["query_id", "category"], []], "query_id", "category").agg(
+        F.sum("n_new").alias("n_new"), F.sum("n_already_judged").alias("n_already_judged"), F.sum(F.col("n_new") + F.col("n_already_judged")).alias("pooled"), F.count(F.lit(1)).alias("n_queries"), F.count_if(F.col("n_new") == 0).alias("n_empty")
+    )
+    return out
+
+
 def coverage(pool: DataFrame, judged: DataFrame, queries: DataFrame) -> DataFrame:
     """category ('all' too), n_queries, retrieved, unjudged, rate, distinct_new_pages, fully_covered."""
     per = delta_counts(pool, judged, queries)

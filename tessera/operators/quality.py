@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Chunks of a page whose hashes are gathered at a time.
+RANGE = 4096
+
+
 def page_texts(chunks: DataFrame) -> DataFrame:
     """url, n_chunks, n_tokens, signature, says_stub (of the first chunk's whole text) of every page that has chunks.
 
     The signature covers the texts in order of ordinal, identifiers cut to their last segment. Exact
-    repeats of a chunk count once. A page's chunks are gathered as (ordinal, hash) and the hashes are
-    hashed again, so a page of any number of chunks costs 80 bytes a chunk. Null texts are empty.
+    repeats of a chunk count once. Hashes are gathered by ranges of ``RANGE`` ordinals and hashed again, then the
+    ranges' digests, so the chunks of a page of any size are never in one task. Null texts are empty.
     """
-    rows = chunks.where("url IS NOT NULL").select("url", "chunk_id", "ordinal", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).dropDuplicates(["url", "chunk_id", "ordinal"])
-    hashed = rows.withColumn("_h", F.sha2(T.short_identifiers("text"), 256))
-    pages = hashed.groupBy("url").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "_h"))).alias("_parts"),
-        F.min_by(T.says_stub(F.col("text")), F.struct("ordinal", "chunk_id")).alias("says_stub"),
-    )
-    return pages.select("url", "n_chunks", "n_tokens", F.sha2(F.array_join(F.transform("_parts", lambda p: p["_h"]), "\n"), 256).alias("signature"), "says_stub")
+    rows = chunks.where("url IS NOT NULL").select("url", "chunk_id", "ordinal", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    hashed = rows.select("url", "chunk_id", "ordinal", "n_tokens", F.sha2(T.short_identifiers("text"), 256).alias("_h"), T.says_stub(F.col("text")).alias("_stub"))
+    once = hashed.groupBy("url", "chunk_id", "ordinal").agg(F.min(F.struct("n_tokens", "_h", "_stub")).alias("_v")).select("url", "chunk_id", "ordinal", "_v.*")
+    first = F.min(F.struct("ordinal", "chunk_id", "_stub"))
+    gather = lambda order, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda p: p["v"]), "\n"), 256)
+    ranges = once.groupBy("url", F.floor(F.col("ordinal") / RANGE).alias("_range")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), gather(("ordinal", "chunk_id"), "_h").alias("_digest"), first.alias("_first"))
+    pages = ranges.groupBy("url").agg(F.sum("n").alias("n_chunks"), F.sum("t").alias("n_tokens"), gather(("_range",), "_digest").alias("signature"), F.min("_first").alias("_first"))
+    return pages.select("url", "n_chunks", "n_tokens", "signature", F.col("_first._stub").alias("says_stub"))
 
 
 def first_fit(urls: list[str]) -> list[list[str]]:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import plain_words
-from ..plans.ranking import top_n
+from ..plans.ranking import position_by_bucket, top_n
+from ..plans.shared import materialize
 
 #: Fixed value: how many of the base ranking are scored.
 TOP_N = 100
@@ -39,29 +40,27 @@ def rerank(base: DataFrame, queries: DataFrame, passages: DataFrame, k: int, sco
     return top_n(scored, ["query_id"], [F.col("score").desc(), F.col("base_rank"), F.col("chunk_id")], max(0, k)).select("query_id", "rank", "chunk_id", "score")
 
 
-def random_run(queries: DataFrame, items: DataFrame, k: int, seed: int = 0, item: str = "chunk_id", buckets: int = 64) -> DataFrame:
+def random_run(queries: DataFrame, items: DataFrame, k: int, seed: int = 0, item: str = "chunk_id") -> DataFrame:
     """query_id, rank, chunk_id: ``k`` items drawn without replacement for every query, a function of the seed.
 
-    Items are ordered once by a hash of the seed and numbered; a query's draws are numbers made from its
-    hash, so no query meets all items. Draws repeat only if k is above the number of items.
+    Items are numbered once in the order of a hash of the seed. A query draws numbers by a hash of (seed, query, draw), a
+    number drawn before counts once; with few items it puts all numbers in the order of that hash. So no query meets all items
+    of a large table, and only the number of items reaches the driver.
     """
-    from ..plans.ranking import position_by_bucket
-    from ..plans.shared import materialize
-
     keyed = items.select(F.col(item).alias("chunk_id")).where("chunk_id IS NOT NULL").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "chunk_id"))
-    numbered = materialize(position_by_bucket(keyed, [], ["_h", "chunk_id"], "n", buckets).select("n", "chunk_id"), "items")
+    numbered = materialize(position_by_bucket(keyed, [], ["_h", "chunk_id"], "n").select("n", "chunk_id"), "items")
     total = numbered.count()
     want = min(k, total)
     if want < 1:
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit("").alias("chunk_id")).limit(0)
-    # a start and a step coprime to the total give distinct numbers
-    import math
-
-    steps = [s for s in range(max(1, total // 3), total + 1) if math.gcd(s, total) == 1][:64] or [1]
-    step = F.element_at(F.array(*[F.lit(s) for s in steps]), (F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.lit(len(steps))) + 1).cast("int"))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "query_id"), F.lit(total))
-    drawn = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(want))).alias("rank"), start.alias("s"), step.alias("t"))
-    return drawn.withColumn("n", F.pmod(F.col("s") + F.col("rank") * F.col("t"), F.lit(total))).join(numbered, "n").select("query_id", "rank", "chunk_id")
+    few = total <= 8 * want + 64
+    draws = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(total - 1 if few else 8 * want + 63))).alias("_i"))
+    hashed = F.xxhash64(F.lit(seed + 1), "query_id", "_i")
+    if few:
+        drawn = draws.select("query_id", F.col("_i").cast("long").alias("n"), hashed.alias("_at"))
+    else:
+        drawn = draws.select("query_id", F.pmod(hashed, F.lit(total)).alias("n"), F.col("_i").cast("long").alias("_at")).groupBy("query_id", "n").agg(F.min("_at").alias("_at"))
+    return top_n(drawn, ["query_id"], [F.col("_at"), F.col("n")], want).join(numbered, "n").select("query_id", "rank", "chunk_id")
 
 
 def latency_stats(timings: DataFrame, by: list[str], seconds: str = "seconds", pairs: str | None = None) -> DataFrame:

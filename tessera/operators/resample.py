@@ -55,22 +55,22 @@ def paired_draws(run: DataFrame, qrels: DataFrame, queries: DataFrame, transitio
 
     def run_batches(batches):
         q_key, grade, runs, groups, counts, n_q = shared.value
+        names, systems = list(groups), list(runs)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
             for draw in batch.column(0).to_pylist():
                 rng = np.random.default_rng(np.random.SeedSequence([seed, draw]))
-                matrix = np.vstack([rng.dirichlet(row + 1.0) for row in counts]).cumsum(1)
-                g = np.minimum((rng.random((len(grade), 1)) > matrix[grade]).sum(1), 2)
-                scores = {s: scores_of(*runs[s], g, q_key, n_q) for s in runs}
-                for name, at in groups.items():
-                    pick = at[rng.integers(0, len(at), len(at))] if len(at) else at
-                    for s, values in scores.items():
-                        for m in METRICS:
-                            v = values[m][pick]
-                            v = v[~np.isnan(v)]
-                            for c, x in zip(cols, (draw, s, name, m, float(v.mean()) if len(v) else 0.0)):
-                                c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:4]], pa.array(cols[4], pa.float64())], names=["draw", "system", "category", "metric", "value"])
+                steps = np.stack([rng.dirichlet(row + 1.0) for row in counts]).cumsum(1)
+                regraded = np.minimum((rng.random(len(grade))[:, None] > steps[grade]).sum(1), 2)
+                # systems x metrics x queries, and how often each group draws each query: one product gives all means
+                of = [scores_of(*runs[s], regraded, q_key, n_q) for s in systems]
+                values = np.array([[scores[m] for m in METRICS] for scores in of]).reshape(len(systems), len(METRICS), n_q)
+                times = np.stack([np.bincount(at[rng.integers(0, len(at), len(at))], minlength=n_q) if len(at) else np.zeros(n_q) for at in groups.values()])
+                known = ~np.isnan(values)
+                total, weight = np.where(known, values, 0.0) @ times.T, known.astype(float) @ times.T
+                mean = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
+                s, m, g = (x.ravel() for x in np.indices(mean.shape))
+                pick = lambda labels, at: pa.array(labels, pa.string()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), draw), pa.int64()), pick(systems, s), pick(names, g), pick(METRICS, m), pa.array(mean.ravel())], names=["draw", "system", "category", "metric", "value"])
 
     parts = max(1, min(draws, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return spark.range(0, draws, 1, parts).mapInArrow(run_batches, "draw long, system string, category string, metric string, value double")
@@ -118,29 +118,25 @@ def paired_intervals(draws: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
 def ratio_draws(rows: DataFrame, by: str, draws: int = DRAWS, seed: int = RATIO_SEED, part: str = "supported", total: str = "total") -> DataFrame:
     """by, draw, ratio: sums resampled over any number of rows, by Poisson weights.
 
-    Each row takes part in each draw with a Poisson(1) weight made from its number, the draw and the seed, the
-    form of resampling that needs no row to know the others. Sums are made in Arrow batches; only (group, draw)
-    sums are shuffled.
+    Equal rows are counted first; n of them take part in a draw with a Poisson(n) weight, which is what n
+    independent Poisson(1) weights add up to. Weights come from a generator seeded by the seed and the row's values, so results don't depend on
+    partitions. Sums are made in Arrow batches; only (group, draw) sums are shuffled.
     """
-    from ..plans.ranking import position_by_bucket
-
-    source = rows.select(by, part, total).withColumn("_h", F.xxhash64(by, part, total))
-    numbered = position_by_bucket(source, [], ["_h"], "_no", 64).select(F.col(by).cast("string").alias("g"), F.col(part).cast("double").alias("p"), F.col(total).cast("double").alias("t"), "_no")
+    counted = rows.groupBy(F.col(by).cast("string").alias("g"), F.col(part).cast("double").alias("p"), F.col(total).cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = counted.withColumn("key", F.xxhash64(F.lit(seed), "g", "p", "t"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            p, t, no = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            for i, name in enumerate(names):
-                w = np.random.default_rng([seed, int(no[i])]).poisson(1.0, draws)
-                s = sums.setdefault(name, np.zeros((2, draws)))
-                s[0] += w * p[i]
-                s[1] += w * t[i]
+            p, t, n, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                w = np.random.default_rng(int(key[i]) % 2**63).poisson(n[i], draws)
+                sums.setdefault(name, np.zeros((2, draws)))
+                sums[name] += w * np.array([[p[i]], [t[i]]])
         for name, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * draws, pa.string()), pa.array(np.arange(draws), pa.int32()), pa.array(s[0]), pa.array(s[1])], names=["g", "draw", "p", "t"])
 
-    out = numbered.mapInArrow(run, "g string, draw int, p double, t double").groupBy("g", "draw").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    out = keyed.mapInArrow(run, "g string, draw int, p double, t double").groupBy("g", "draw").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
     return out.where("t > 0").select(F.col("g").alias(by), "draw", (F.col("p") / F.col("t")).alias("ratio"))
 
 

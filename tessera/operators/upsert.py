@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import source_of_url
+from ..plans.shared import materialize
 from ..sources.schemas import CHUNKS, PAGES, conform
 
 #: Columns of a chunk whose difference makes it an update.
@@ -47,7 +48,8 @@ def load(pages: DataFrame, chunks: DataFrame, batch: DataFrame, version: str = "
     top = old.agg(F.coalesce(F.max("load_seq"), F.lit(-1)).alias("_top"))
     state = joined.withColumn("change", F.when(F.col("_seq").isNull(), "inserted").when(changed, "updated").otherwise("same"))
     ordered = state.where("change = 'inserted'").repartitionByRange("url", "ordinal").sortWithinPartitions("url", "ordinal", "chunk_id").crossJoin(F.broadcast(top))
-    fresh = ordered.withColumn("load_seq", F.col("_top") + 1 + F.monotonically_increasing_id()).select(*old.columns)
+    # written, as the ranges come from a sample: read twice, the numbers would differ
+    fresh = materialize(ordered.withColumn("load_seq", F.col("_top") + 1 + F.monotonically_increasing_id()).select(*old.columns), "fresh")
     # a chunk that differs in nothing compared stays as it was, tokens and hash included
     kept_same = old.join(state.where("change = 'same'").select("chunk_id"), "chunk_id", "left_semi")
     replaced = state.where("change = 'updated'").withColumn("load_seq", F.col("_seq")).select(*old.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis, jsonx
 from ..functions import text as X
-from ..operators import agent, bm25, chunking, dense, fusion, generation, metrics, pooling, quality, reliability, report, resample, rerank, snapshots, upsert
+from ..operators import agent, bm25, chunking, dense, fusion, generation, metrics, pooling, prompts, quality, reliability, report, resample, rerank, retrievers, snapshots, upsert
 from ..sources import web
 from .oracle import oracle_sql
 from .ranking import top_n
@@ -131,6 +131,44 @@ def hash_embed_topk(s: SparkSession, d: str) -> DataFrame:
     return dense.search(asked, index, 10, 64).select("query_id", "rank", F.col("item").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def _probes(s: SparkSession, d: str) -> DataFrame:
+    """query_id, query, vec: every indexed chunk whose id is divisible by 100, with its title as text and one of its vectors."""
+    usable = table(s, d, "dense_index").where("size(vec) = 64 AND exists(vec, x -> x <> 0)")
+    vectors = usable.groupBy("chunk_id").agg(F.min("vec").alias("vec")).where(F.conv(F.substring("chunk_id", 13, 4), 16, 10).cast("long") % 100 == 0)
+    titles = table(s, d, "chunks").where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max("title").alias("title"))
+    return vectors.join(titles, "chunk_id").select(F.col("chunk_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"), "vec")
+
+
+def _corpus(s: SparkSession, d: str) -> retrievers.Corpus:
+    chunks = table(s, d, "chunks")
+    return retrievers.Corpus(chunks, _page_map(s, d), bm25.build_index(chunks, stem=False), table(s, d, "dense_index").select("chunk_id", "vec"), stem=False)
+
+
+@_query
+def dense_search(s: SparkSession, d: str) -> DataFrame:
+    """The whole vector search: a pool of 500, without stubs and later hits of a page, cut to ten."""
+    return dense.retrieve(_probes(s, d), table(s, d, "dense_index"), _page_map(s, d), 10, 64)
+
+
+@_query
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    """Title and vector of each probe searched, both lists fused by page."""
+    found = retrievers.registry(_corpus(s, d))["hybrid"](_probes(s, d), 10)
+    return found.withColumn("score", F.round("score", 12))
+
+
+@_query
+def live_metrics(s: SparkSession, d: str) -> DataFrame:
+    """The lexical search run for every page title and scored: the pages of that title are relevant."""
+    pages = table(s, d, "pages").where("title IS NOT NULL AND url IS NOT NULL").select(F.col("title").alias("query_id"), "url").distinct()
+    known = table(s, d, "pages").where("url IS NOT NULL").groupBy("url").agg(F.max(F.when(F.col("canonical_url") != "", F.col("canonical_url"))).alias("c"))
+    qrels = pages.join(known, "url", "left").select("query_id", F.coalesce("c", "url").alias("unit"), F.lit(2).alias("grade")).distinct()
+    asked = _titles(s, d).withColumn("category", F.lit("title"))
+    corpus = _corpus(s, d)
+    scores = retrievers.evaluate({"bm25": retrievers.lexical(corpus)}, asked, qrels, corpus.pages.withColumn("anchor", F.lit("")))
+    return scores.select("system", "query_id", "judged", "n_relevant", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg_10")])
+
+
 @_query
 def dense_stats(s: SparkSession, d: str) -> DataFrame:
     return dense.index_stats(table(s, d, "dense_index").where("size(vec) = 64"), 64)
@@ -232,19 +270,25 @@ def text_only_collisions(s: SparkSession, d: str) -> DataFrame:
     return quality.text_only_collisions(quality.alias_clusters(quality.page_texts(table(s, d, "chunks"))))
 
 
+def _moved(s: SparkSession, d: str) -> DataFrame:
+    """All chunks; the texts of those with an even id say that they were moved, which none of the test tables' does."""
+    says = F.concat(F.coalesce("text", F.lit("")), F.lit(" It has been moved."))
+    return table(s, d, "chunks").withColumn("text", F.when(F.right("chunk_id", F.lit(1)).isin(*"02468ace"), says).otherwise(F.col("text")))
+
+
 @_query
 def quality_analysis(s: SparkSession, d: str) -> DataFrame:
-    return quality.analyze(table(s, d, "chunks"))
+    return quality.analyze(_moved(s, d))
 
 
 @_query
 def quality_report(s: SparkSession, d: str) -> DataFrame:
-    return quality.report(quality.analyze(table(s, d, "chunks")))
+    return quality.report(quality.analyze(_moved(s, d)))
 
 
 @_query
 def quality_applied(s: SparkSession, d: str) -> DataFrame:
-    return quality.quality_counts(quality.apply_quality(table(s, d, "pages"), quality.analyze(table(s, d, "chunks"))))
+    return quality.quality_counts(quality.apply_quality(table(s, d, "pages"), quality.analyze(_moved(s, d))))
 
 
 @_query
@@ -265,7 +309,7 @@ def stub_urls(s: SparkSession, d: str) -> DataFrame:
 @_query
 def stub_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages that are placeholders by their text."""
-    p = quality.page_texts(table(s, d, "chunks"))
+    p = quality.page_texts(_moved(s, d))
     return p.where(X.is_stub(F.col("n_chunks"), F.col("n_tokens"), F.col("says_stub"))).select("url")
 
 
@@ -278,12 +322,32 @@ def reported_aliases(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("compatible", X.alias_compatible("canonical_url", "url"))
 
 
+def _loaded(s: SparkSession, d: str) -> upsert.Loaded:
+    """The corpus after all tutorial pages were delivered again, texts trimmed, without the chunks of each page's last ordinal."""
+    pages, chunks = table(s, d, "pages"), _chunks(s, d)
+    tutorials = chunks.where(F.instr("url", "/tutorials/") > 0)
+    last = tutorials.groupBy("url").agg(F.max("ordinal").alias("_last"))
+    batch = tutorials.join(last, "url").where("ordinal < _last").drop("_last").withColumn("text", F.trim("text"))
+    stored = chunks.groupBy("chunk_id").agg(F.max(F.struct(*[c for c in chunks.columns if c != "chunk_id"])).alias("v")).select("chunk_id", "v.*")
+    return upsert.load(pages, stored, batch)
+
+
 @_query
 def upsert_load(s: SparkSession, d: str) -> DataFrame:
-    """The corpus after all tutorial pages were delivered again with trimmed texts and without their last chunk's text."""
-    pages, chunks = table(s, d, "pages"), _chunks(s, d)
-    batch = chunks.where(F.instr("url", "/tutorials/") > 0).withColumn("text", F.trim("text")).where("ordinal % 5 <> 4")
-    return upsert.load(pages, chunks.groupBy("chunk_id").agg(F.max(F.struct(*[c for c in chunks.columns if c != "chunk_id"])).alias("v")).select("chunk_id", "v.*"), batch).counts
+    """What a load did."""
+    return _loaded(s, d).counts
+
+
+@_query
+def upsert_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The chunks after the load."""
+    return _loaded(s, d).chunks.select("chunk_id", "url", F.md5("text").alias("text_md5"))
+
+
+@_query
+def upsert_pages(s: SparkSession, d: str) -> DataFrame:
+    """The pages after the load."""
+    return _loaded(s, d).pages.select("url", "title", "n_chunks", "canonical_url", "status")
 
 
 @_query
@@ -348,11 +412,26 @@ def short_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _block_pages(s: SparkSession, d: str) -> DataFrame:
-    """A small page of HTML around every block."""
-    esc = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.when(F.col("kind") == "code", F.concat(F.lit("<pre>"), esc("text"), F.lit("</pre>"))).otherwise(F.concat(F.lit("<p>"), esc("text"), F.lit("</p>")))
-    page = F.concat(F.lit("<html><body><nav>menu</nav><article><h1>Block</h1>"), body, F.lit("</article></body></html>"))
-    return table(s, d, "blocks").select(F.concat_ws("/", "url", "chunk_id", F.col("block_ord").cast("string")).alias("url"), page.alias("html"))
+    """One page of HTML a url from all its blocks: headings, paragraphs, lists, tables and code."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    wrap = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    all_of = lambda c, f: F.array_join(F.transform(c, f), "")
+    text, lines = F.coalesce("text", F.lit("")), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    cells = lambda line: F.split(F.regexp_replace(line, r"^ *\| ?| ?\| *$", ""), r"\|")
+    kind = F.lower(F.trim(F.coalesce("kind", F.lit(""))))
+    body = (
+        F.when(kind == "code", F.concat(F.lit('<div class="highlight-'), F.coalesce("lang", F.lit("default")), F.lit('"><pre>'), esc(text), F.lit("</pre></div>")))
+        .when(kind == "list", wrap("ul", all_of(lines, lambda x: wrap("li", esc(F.regexp_replace(x, r"^ *(- |\d+\. )", ""))))))
+        .when(kind == "table", wrap("table", all_of(lines, lambda x: wrap("tr", all_of(cells(x), lambda c: wrap("td", esc(c)))))))
+        .otherwise(wrap("p", esc(text)))
+    )
+    path = F.when(F.size("heading_path") > 0, F.col("heading_path")).otherwise(F.array(F.lit("Untitled")))
+    heads = F.array_join(F.transform(path, lambda h, i: F.concat(F.lit("<h"), (i + 1).cast("string"), F.lit(">"), esc(h), F.lit("</h"), (i + 1).cast("string"), F.lit(">"))), "")
+    rows = table(s, d, "blocks").groupBy("url", "chunk_id", "block_ord").agg(F.min(F.struct("kind", "text", "heading_path", "lang")).alias("b")).select("url", "chunk_id", "block_ord", "b.*")
+    first = rows.groupBy("url", "chunk_id").agg(F.min("block_ord").alias("_first"))
+    rows = rows.join(first, ["url", "chunk_id"]).select("url", "chunk_id", "block_ord", F.concat(F.when(F.col("block_ord") == F.col("_first"), heads).otherwise(F.lit("")), body).alias("html"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "block_ord", "html"))), lambda x: x["html"]), "")
+    return rows.groupBy("url").agg(F.concat(F.lit("<html><body><nav>menu</nav><article>"), whole, F.lit("</article></body></html>")).alias("html"))
 
 
 @_query
@@ -362,7 +441,8 @@ def html_chunks(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def html_blocks(s: SparkSession, d: str) -> DataFrame:
-    return chunking.page_blocks(_block_pages(s, d))
+    found = chunking.page_blocks(_block_pages(s, d))
+    return found.select("url", "title", "block_ord", "kind", "text", F.array_join("heading_path", " > ").alias("path"), "lang")
 
 
 @_query
@@ -612,7 +692,38 @@ def citation_table(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def check_summary(s: SparkSession, d: str) -> DataFrame:
-    return generation.summarize_checks(_checked(s, d))
+    out = generation.summarize_checks(_checked(s, d))
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@_query
+def refusal_table(s: SparkSession, d: str) -> DataFrame:
+    """Refusals of every system, and how often it refused the passages of another query."""
+    systems = _runs(s, d).select("system").distinct()
+    n = F.regexp_extract("query_id", r"(\d+)$", 1).cast("int")
+    probe = probe_pairs(s, d).withColumn("system", F.explode(F.array(*[F.lit(x) for x in SYSTEMS]))).join(systems, "system").select("system", "skipped", (n % 3 > 0).alias("refused"))
+    return report.refusal_table(_checked(s, d), probe).withColumn("correct_refusal", F.round("correct_refusal", 9))
+
+
+@_query
+def route_prompts(s: SparkSession, d: str) -> DataFrame:
+    """The prompt that asks for each title's route."""
+    return prompts.route_requests(_titles(s, d), "m").select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@_query
+def answer_prompts(s: SparkSession, d: str) -> DataFrame:
+    """The prompt that asks for an answer to each query from the passages of its fused list."""
+    run = top_n(table(s, d, "fused").select("query_id", "chunk_id", "best_rank").distinct(), ["query_id"], [F.col("best_rank"), F.col("chunk_id")], 10)
+    found = generation.contexts(run.select("query_id", "rank", "chunk_id"), table(s, d, "chunks"))
+    asked = found.select("query_id", F.col("query_id").alias("query"))
+    return prompts.answer_requests(found, asked, "m", "fused").select("query_id", F.size("chunk_ids").alias("n"), F.md5("prompt").alias("prompt_md5"))
+
+
+@_query
+def delta_report(s: SparkSession, d: str) -> DataFrame:
+    """New and judged candidates of each query and of all."""
+    return pooling.delta_totals(pooling.delta_counts(_pool(s, d), _judged(s, d), _asked(s, d)))
 
 
 @_query

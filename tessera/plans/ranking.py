@@ -21,15 +21,16 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def position_by_bucket(df: DataFrame, by: Sequence[str], key: Sequence[str], position: str, buckets: int = 256) -> DataFrame:
+def position_by_bucket(df: DataFrame, by: Sequence[str], key: Sequence[str], position: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each group from 0, in an order that is fixed but otherwise arbitrary.
 
-    ``key`` must be unique within a group. Each group is cut into ``buckets`` by the hash of the
+    ``key`` must be unique within a group. Each group is cut into ``buckets`` (by default as many as there are shuffle partitions, at least 256) by the hash of the
     key; rows are numbered within (group, bucket) and shifted by the sizes of the buckets before.
     No task sees more of a group than one bucket, and the bucket is a function of the row, so a
     repeated task gives the same numbers. Null group values form a group.
     """
     b = "_bucket"
+    buckets = buckets or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.withColumn(b, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     sizes = rows.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy(b).rowsBetween(W.unboundedPreceding, -1)

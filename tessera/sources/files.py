@@ -110,6 +110,25 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, CACHE)
 
 
+def write_cache(responses: DataFrame, path: str) -> int:
+    """Add responses (the columns of ``CACHE``) to a keyed JSON file and return how many entries it has; the new ones win.
+
+    A file in the old state or in the new one is seen, never half of it. Responses of a judged query set are few; they are read row by row.
+    """
+    try:
+        body = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        body = {}
+    body = body if isinstance(body, dict) else {}
+    for r in responses.toLocalIterator():
+        body[r["key"]] = {c: r[c] for c in responses.columns if c != "key" and r[c] is not None}
+    part = Path(f"{path}.part")
+    part.parent.mkdir(parents=True, exist_ok=True)
+    part.write_text(json.dumps(body, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
+    part.replace(path)
+    return len(body)
+
+
 def save_index(index: DataFrame, folder: str, model: str, dim: int, fingerprint: DataFrame) -> None:
     """Vectors (chunk_id, vec) and one row about them: model, dim, fingerprint."""
     index.write.mode("overwrite").parquet(f"{folder}/vectors")

@@ -22,6 +22,12 @@ def stable_version(html: str, base: str) -> str | None:
     return m[1] if m else None
 
 
+def full_version(html: str | Column, repository: str, version: str) -> Column:
+    """The full release, such as 2.14.0, that a page's links to its source under ``repository`` name for a version; null if none does."""
+    literal = lambda s: "".join("\\" + c if not c.isalnum() and c != "/" else c for c in s)
+    return F.nullif(F.regexp_extract(html, rf"{literal(repository)}/blob/v({literal(version)}\.\d+)/", 1), F.lit(""))
+
+
 def sitemap_urls(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
     """url of every location in sitemaps."""
     return sitemaps.select(F.explode(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))

@@ -213,3 +213,25 @@ def test_stub_phrase_anywhere(spark):
     said = "word " * 600 + X.STUB_PHRASES[0]
     c = spark.createDataFrame([("a", "u", 0, said, None), ("b", "v", 0, "word " * 600, None)], "chunk_id string, url string, ordinal int, text string, n_tokens int")
     assert {r["url"]: r["status"] for r in quality.analyze(c).collect()} == {"u": "stub", "v": "ok"}
+
+
+def test_hot_page_signature(spark):
+    """A page of more chunks than are gathered at a time: order counts, the order of rows doesn't."""
+    rows = [(f"c{i}", "u", i, f"text {i}", 1) for i in range(9000)]
+    schema = "chunk_id string, url string, ordinal int, text string, n_tokens int"
+    sign = lambda r: quality.page_texts(spark.createDataFrame(r, schema).repartition(5)).first()["signature"]
+    assert sign(rows) == sign(rows[::-1]) != sign([(c, u, 8999 - o, t, n) for c, u, o, t, n in rows])
+    assert quality.page_texts(spark.createDataFrame(rows, schema)).first()["n_chunks"] == 9000
+
+
+def test_token_sizes():
+    """Sizes by a public tokenizer's ranks; no chunk is above the limit."""
+    count = C.TokenCount("/opt/tokenizers/byte_bpe_50k.tiktoken", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    text = "Tensors are sharded over devices, and unshardable ones are replicated. " * 60
+    got = C.pack([C.Block("paragraph", text, ("a",), "a"), C.Block("list", "- x", ("a",), "a")], 100, 120, 10, count)
+    assert len(got) > 5 and all(count(t) <= 120 for _, _, t in got) and " ".join(" ".join(t for *_, t in got).split()) == " ".join((text + "- x").split())
+
+
+def test_full_version(spark):
+    page = spark.createDataFrame([('<a href="https://x.example/o/r/blob/v3.2.1/a.py">[source]</a>',), ("none",), (None,)], "html string")
+    assert [r[0] for r in page.select(web.full_version("html", "x.example/o/r", "3.2")).collect()] == ["3.2.1", None, None]

@@ -168,3 +168,54 @@ def test_entry(spark, small):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prompts(spark):
+    """Slots are filled once and literally; refused, malformed and empty answers are not checked."""
+    from tessera.operators import prompts
+
+    df = spark.createDataFrame([("{query} {context}", "ctx {query}")], "q string, c string")
+    got = df.select(prompts.filled("a {query} b {context} {other} {query}", query=F.col("q"), context=F.col("c")).alias("x")).first()[0]
+    assert got == "a {query} {context} b ctx {query} {other} {query} {context}"
+    asked = spark.createDataFrame([("q1", "what"), ("q2", None)], "query_id string, query string")
+    assert [r["prompt"] for r in prompts.route_requests(asked, "m").orderBy("query_id").collect()] == [prompts.ROUTE.replace("{query}", x) for x in ("what", "")]
+    answers = spark.createDataFrame([("s", "q1", "what", False, "", "yes [C1]"), ("s", "q2", "x", True, "", "no"), ("s", "q3", "x", False, "bad", "no"), ("s", "q4", "x", False, "", "")], "system string, query_id string, query string, refused boolean, malformed string, text string")
+    claims = prompts.claim_requests(answers, "m").collect()
+    assert [(r["query_id"], r["retriever"]) for r in claims] == [("q1", "s:claims")] and "yes [C1]" in claims[0]["prompt"] and "8" in claims[0]["prompt"]
+    claimed = spark.createDataFrame([("s", "q1", "what", ["a", "b"])], "system string, query_id string, query string, claims array<string>")
+    contexts = spark.createDataFrame([("s", "q1", "[C1] t")], "system string, query_id string, context string")
+    assert "1. a\n2. b" in prompts.support_requests(claimed, contexts, "m").first()["prompt"]
+
+
+def test_traces(spark):
+    """A routed search leaves one row a query, which is what the summary reads."""
+    from tessera.operators import agent
+
+    routed = spark.createDataFrame([("q1", "a", "direct", "", False), ("q2", "b", "decompose", "", False), ("q3", "c", "direct", "", True)], "query_id string, query string, route string, reason string, route_fallback boolean")
+    subs = spark.createDataFrame([("q1", False, 0, "a"), ("q2", False, 0, "x"), ("q2", False, 1, "y"), ("q3", False, 0, "c")], "query_id string, decompose_fallback boolean, sub_no int, sub_query string")
+    calls = spark.createDataFrame([("q1", 5, 1, 1.0, True), ("q2", 5, 1, 1.0, False), ("q2", 7, 2, 2.0, True)], "query_id string, prompt_tokens long, completion_tokens long, seconds double, cached boolean")
+    times = spark.createDataFrame([("q1", 0.5), ("q2", 1.5)], "query_id string, retrieval_seconds double")
+    t = {r["query_id"]: r for r in agent.traces(routed, subs, calls, times).collect()}
+    assert (t["q2"]["n_sub_queries"], t["q2"]["llm_calls"], t["q2"]["cache_hits"], t["q2"]["prompt_tokens"], t["q2"]["total_seconds"]) == (2, 2, 1, 12, 4.5)
+    assert (t["q3"]["llm_calls"], t["q3"]["total_seconds"]) == (0, 0.0)
+    lines = agent.trace_report(agent.summarize_traces(agent.traces(routed, subs, calls, times)))
+    assert lines[0] == "queries 3: decomposed 1, direct 2" and "1 of 3 (33%)" in lines[1]
+
+
+def test_equal_rows_resampled(spark):
+    """Many equal rows cost what one does, and the interval of a mixture covers its share."""
+    from tessera.operators import resample
+
+    rows = spark.range(100_000).selectExpr("'g' AS system", "CAST(id % 4 = 0 AS INT) AS supported", "1 AS total")
+    got = resample.ratio_intervals(resample.ratio_draws(rows, "system", draws=400), "system").first()
+    assert 0.24 < got["low"] < 0.25 < got["high"] < 0.26
+
+
+def test_cache_file(spark, tmp_path):
+    from tessera.sources import files
+
+    path = str(tmp_path / "c" / "cache.json")
+    row = lambda k, t: (k, t, 1, 2, 0.5, "m", "q", None)
+    assert files.write_cache(spark.createDataFrame([row("a", "x"), row("b", "y")], files.CACHE), path) == 2
+    assert files.write_cache(spark.createDataFrame([row("b", "z")], files.CACHE), path) == 2
+    assert sorted((r["key"], r["text"], r["completion_tokens"]) for r in files.read_cache(spark, path).collect()) == [("a", "x", 2), ("b", "z", 2)]

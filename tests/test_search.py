@@ -1,5 +1,8 @@
 import sqlite3
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.functions import analysis
 from tessera.functions import text as X
 from tessera.operators import bm25, dense, fusion, rerank
@@ -137,3 +140,61 @@ def test_random_run(spark):
     assert a == sorted(rows(rerank.random_run(q, items, 10, 1), "query_id", "rank", "chunk_id"))
     assert all(len({c for x, _, c in a if x == n}) == 10 for n in ("q1", "q2"))
     assert rerank.random_run(q, items.limit(0), 10, 1).count() == 0 and rerank.random_run(q, items, 99, 1).count() == 60
+
+
+def test_dense_ways_agree(spark):
+    """Queries sent to the vectors and block against block give the same lists; an item that stands often takes one place."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(f"v{i:03d}", r.normal(size=8).tolist()) for i in range(300)] + [("v007", r.normal(size=8).tolist()) for _ in range(40)] + [("v008", [1.0] * 8)] * 50 + [("n", None), ("z", [0.0] * 8), ("short", [1.0]), (None, [1.0] * 8)]
+    index = spark.createDataFrame(rows, "chunk_id string, vec array<float>").repartition(7)
+    asked = spark.createDataFrame([("a", [1.0] * 8), ("b", rows[7][1]), ("c", None)], "query_id string, vec array<float>")
+    ways = [[tuple(x) for x in dense.search(asked, index, 5, 8, sent_bytes=n).orderBy("query_id", "rank").collect()] for n in (2**20, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 10
+    assert ways[0][0][2] == "v008" and len({x[2] for x in ways[0][:5]}) == 5
+    assert dense.search(asked, index.limit(0), 5, 8).count() == 0 and dense.search(asked.limit(0), index, 5, 8).count() == 0
+
+
+def test_switches():
+    from tessera.operators import retrievers
+
+    assert retrievers.switches(["bm25", "dense"], keep_aliases=True) == {"collapse_aliases": False}
+    assert retrievers.switches(["hybrid"]) == {}
+    with pytest.raises(ValueError, match="hybrid"):
+        retrievers.switches(["bm25", "hybrid"], keep_stubs=True)
+
+
+def test_searches_by_name(spark):
+    """All searches of a small corpus answer; what the agent reads decides whether a query is split; scores come from one written run."""
+    from tessera.operators import retrievers
+
+    texts = ["the tensor of a layer", "a queue of a worker", "tensor and queue", "the stub was moved"]
+    chunks = spark.createDataFrame([(f"c{i}", f"u{i}", "t", ["h"], 0, t) for i, t in enumerate(texts)], "chunk_id string, url string, title string, heading_path array<string>, ordinal int, text string")
+    pages = spark.createDataFrame([(f"u{i}", "", "stub" if i == 3 else "ok") for i in range(4)], "url string, canonical_url string, status string")
+    vectors = dense.encode(chunks).select("chunk_id", "vec")
+    corpus = retrievers.Corpus(chunks, fusion.page_map(chunks, pages), bm25.build_index(chunks), vectors)
+    asked = spark.createDataFrame([("q1", "tensor"), ("q2", "queue and worker"), ("q3", "moved")], "query_id string, query string")
+    verdicts = spark.createDataFrame([("q1", '{"route": "direct"}'), ("q2", '{"route": "decompose"}'), ("q3", "?")], "query_id string, text string")
+    parts = spark.createDataFrame([("q2", '{"sub_queries": ["queue", "worker"]}')], "query_id string, text string")
+    searches = retrievers.registry(corpus, verdicts=verdicts, parts=parts)
+    assert sorted(searches) == ["agent", "bm25", "dense", "hybrid", "rerank(bm25)", "rerank(hybrid)"]
+    runs = retrievers.run_all(searches, asked, 3)
+    assert {r["system"] for r in runs.collect()} == set(searches) and runs.where("chunk_id = 'c3'").count() == 0
+    qrels = spark.createDataFrame([("q1", "u0", 2), ("q2", "u1", 2)], "query_id string, unit string, grade int")
+    scores = retrievers.evaluate(searches, asked.withColumn("category", F.lit("x")), qrels, corpus.pages.withColumn("anchor", F.lit("")), 3)
+    assert scores.count() == 12 and scores.where("system = 'bm25' AND recall_10 = 1").count() == 2
+    assert retrievers.registry(retrievers.Corpus(chunks, corpus.pages, corpus.index), keep_stubs=True)["bm25"](asked, 3).where("chunk_id = 'c3'").count() == 1
+
+
+def test_random_draws(spark):
+    """Distinct items for every query, different ones for different queries, the same again for the same seed."""
+    from tessera.operators import rerank
+
+    asked = spark.createDataFrame([(f"q{i}",) for i in range(20)], "query_id string")
+    for n, k in ((5000, 10), (30, 10), (5, 10)):
+        items = spark.range(n).selectExpr("'c' || id AS chunk_id")
+        got = [tuple(r) for r in rerank.random_run(asked, items, k, 1).orderBy("query_id", "rank").collect()]
+        lists = [tuple(c for q, _, c in got if q == f"q{i}") for i in range(20)]
+        assert all(len(set(x)) == min(k, n) for x in lists) and (n < 30 or len(set(lists)) == 20)
+        assert got == [tuple(r) for r in rerank.random_run(asked, items, k, 1).orderBy("query_id", "rank").collect()]
