@@ -4,8 +4,10 @@ Scores are only used to order the chunks of one list (a system's answer to a que
 dominate. A chunk's fused score is the sum over the query's lists of 1 / (constant + place). A chunk
 that a list lacks has the place after its last. With the usual constant, 60, high places count more;
 as the constant grows the order becomes that of the mean place. ``mean_place_constant`` is large
-enough for that to be exact: for places up to L in S lists the second-order term of the sum stays
-below half of the effect of one place if the constant is at least 2 S (L + 1)^2.
+enough for that in exact numbers: for places up to L in S lists the second-order term of the sum stays
+below half of the effect of one place if the constant is at least 2 S (L + 1)^2. A double tells such scores apart
+only for short lists, so ``lowest_mean_place`` orders all chunks by the sum of their places, a whole number, and by
+the fused score only where these are equal.
 """
 
 from __future__ import annotations
@@ -65,11 +67,9 @@ def fused_ranking(fused: DataFrame, depth: int) -> DataFrame:
     return top_n(fused, ["query_id"], [F.round("score", 15).desc(), F.col("chunk_id")], depth)
 
 
-def lowest_mean_place(lists: DataFrame, n: int = 3, spare: int = 7) -> DataFrame:
-    """The ``n`` chunks of each query with the lowest mean place, by fusion at the query's mean-place constant.
+def lowest_mean_place(lists: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` chunks of each query with the lowest mean place; equal ones by fused score at the query's mean-place constant, then chunk_id.
 
-    The fused order keeps the order of mean places up to the last digits of a double; ``spare``
-    more chunks are taken and put in the exact order of mean place, then fused score, then chunk_id.
+    All chunks of all lists are ordered; nothing is cut before by an approximate score.
     """
-    near = top_n(fuse(lists, None), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], n + spare, "_near")
-    return top_n(near.drop("_near"), ["query_id"], [F.col("mean_place"), F.col("score").desc(), F.col("chunk_id")], n)
+    return top_n(fuse(lists, None), ["query_id"], [F.col("mean_place"), F.col("score").desc(), F.col("chunk_id")], n)
