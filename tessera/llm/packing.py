@@ -100,10 +100,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id",
     pieces = counted.select(doc_id, "n_tokens", whole.alias("piece_no")).select(
         doc_id, "piece_no", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("int").alias("length")
     )
-    pieces = materialize(pieces, "pieces")
+    # the row's number spreads repeated and null ids
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # at most `capacity` rows
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = position_by_bucket(pieces, ["length"], [doc_id, "piece_no"], "rank")
+    ranked = position_by_bucket(pieces, ["length"], [doc_id, "piece_no", "_row"], "rank")
     return ranked.join(slots(documents.sparkSession, plan(histogram, capacity)), ["length", "rank"]).select("container_id", doc_id, "piece_no", "token_start", F.col("length").alias("n_tokens"))
 
 
