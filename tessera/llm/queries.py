@@ -146,8 +146,25 @@ fused AS (SELECT query_id, chunk_id, sum(1e0 / (60 + place)) AS score, avg(place
 """
 
 
+_NEAR_COPIES = """
+WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT row_number() OVER () AS i, chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS s FROM w WHERE len(w) >= 20),
+u AS (SELECT i, chunk_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, a.i, b.i AS j, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.i < b.i GROUP BY ALL)
+SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM p WHERE x <> y AND c >= 0.7 * (na + nb - c) - 1e-9"""
+_NEAREST = """
+WITH v AS (SELECT DISTINCT chunk_id, vec::DOUBLE[] AS v FROM dense_index WHERE chunk_id IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+n AS (SELECT chunk_id, v, sqrt(list_dot_product(v, v)) AS l FROM v),
+s AS (SELECT a.chunk_id AS x, b.chunk_id AS y, max(round(list_dot_product(a.v, b.v) / (a.l * b.l), 9)) AS c FROM n a JOIN n b ON a.chunk_id <> b.chunk_id GROUP BY ALL),
+r AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _NEAR_COPIES,
+        "p2_found": _NEAREST + "SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM r",
+        "p2_neighbours": _NEAREST + "SELECT x AS chunk_id, y AS neighbour, rank, c AS cosine FROM r",
         "p4_found": _PLACES + "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mean_place, score DESC, chunk_id) AS r FROM fused) WHERE r <= 3",
         "p4_fused": _PLACES
         + "SELECT query_id, chunk_id, round(score, 12) AS score, round(mean_place, 9) AS mean_place, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, chunk_id) AS r FROM fused) WHERE r <= 10",
