@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import top_n
+from ..plans.shared import materialize
 
-#: Labelled documents that the terms are learnt from, at most.
-LABELLED_ROWS = 20_000
+#: Labelled documents that the terms are learnt from, at most. Their texts are read whole.
+LABELLED_ROWS = 4_000
 #: Rounds of learning; least sentences with a term; least share and lift of a subject among them.
 ROUNDS, LEAST_SENTENCES, LEAST_SHARE, LEAST_LIFT = 6, 3, 0.3, 2.0
 #: What a label counts for a sentence without known terms, of 1.
@@ -31,8 +31,6 @@ HINT = 0.3
 DOCUMENT_SHARE = 0.2
 #: A sentence's least score is this times the score that all but a twentieth of a subject's sentences in documents of its label reach.
 CALIBRATION = 0.5
-#: Longest text that terms are learnt from; matching reads all texts whole.
-LEARN_CHARS = 20_000
 
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _ITEM = re.compile(r"^\s*(?:[-*+•]\s|\d+[.)]\s|#{1,6}\s|\||>|\$)")
@@ -159,31 +157,28 @@ class Matcher:
         return sorted({t for _, t in self._automaton.iter(f" {' '.join(words)} ")}) if self._any else []
 
 
-def shares(text: str | None, matcher: Matcher, weights: dict, rarity: dict[str, float], least: dict[str, float]) -> dict[str, float]:
-    """Share of the prose sentences of a text that belong to each subject; none for a text without prose."""
-    units = sentences(text) if text else []
-    counts: Counter = Counter()
-    for words in units:
-        found = matcher.terms(words)
-        if found:
-            sums: dict[str, float] = defaultdict(float)
-            for t in found:
-                for s, x in weights[t]:
-                    sums[s] += x * rarity.get(t, 1.0)
-            ranked = sorted(sums.items(), key=lambda p: (-p[1], p[0]))
-            s, top = ranked[0]
-            if (len(ranked) == 1 or top > ranked[1][1]) and top / math.sqrt(len(set(words))) >= least.get(s, 0.0):
-                counts[s] += 1
-    return {s: n / len(units) for s, n in counts.items()}
+def belongs(terms: list[int], size: int, weights: list[list[tuple[str, float]]], least: dict[str, float]) -> str | None:
+    """The subject of a sentence with these terms and this many different words, if one leads and passes its threshold."""
+    sums: dict[str, float] = defaultdict(float)
+    for t in terms:
+        for s, x in weights[t]:
+            sums[s] += x
+    ranked = sorted(sums.items(), key=lambda p: (-p[1], p[0]))
+    s, top = ranked[0]
+    return s if (len(ranked) == 1 or top > ranked[1][1]) and top / math.sqrt(size) >= least.get(s, 0.0) else None
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: int) -> list[tuple[str, list[str]]]:
-    """(text, subjects) of at most ``rows`` labelled documents, chosen by hash; case and blanks of labels don't count, unknown ones neither."""
+    """(text, subjects) of at most ``rows`` labelled documents, chosen by hash, one row a doc_id (its smallest text).
+
+    Case and blanks of labels don't count, unknown ones neither.
+    """
     known = subjects.select(F.col("subject"), F.lower(F.trim("subject")).alias("_s")).where("_s IS NOT NULL").distinct()
     named = labels.select("doc_id", F.lower(F.trim("subject")).alias("_s")).where("doc_id IS NOT NULL").join(known, "_s").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("labels"))
-    texts = documents.select("doc_id", "text").where(F.length("text").between(1, LEARN_CHARS))
-    chosen = named.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(rows)
-    found = texts.join(chosen, "doc_id").select("doc_id", "text", "labels").toArrow().to_pylist()
+    present = named.join(documents.select("doc_id").where(F.length("text") > 0), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(rows)
+    texts = documents.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id")
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("labels").alias("labels")).toArrow().to_pylist()
     return [(r["text"], r["labels"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
@@ -201,36 +196,45 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     weights = learn(sample, seeds)
     terms = sorted(weights)
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def count(batches):
-        matcher, seen = Matcher(terms), Counter()
+    def find(batches):
+        matcher, number = Matcher(terms), {t: i for i, t in enumerate(terms)}
+        ints = pa.list_(pa.int32())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update({t for words in sentences(text) for t in matcher.terms(words)})
-                seen[""] += 1
-        yield pa.RecordBatch.from_pydict({"term": list(seen), "n": pa.array(list(seen.values()), pa.int64())})
-
-    counted = texts.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most one row a term
-    df = {r["term"]: r["n"] for r in counted}
-    n = df.get("", 0)
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in terms}
-    mean = sum(idf.values()) / len(idf) if idf else 1.0
-    rarity = {t: math.sqrt(x / mean) for t, x in idf.items()}
-    model = spark.sparkContext.broadcast((weights, rarity, calibrate(sample, weights, rarity)))  # bounded by the learning sample
+            totals, sizes, found = [], [], []
+            for text in batch.column(1).to_pylist():
+                units = sentences(text)
+                hits = [(len(set(words)), [number[t] for t in got]) for words in units if (got := matcher.terms(words))]
+                totals.append(len(units))
+                sizes.append([n for n, _ in hits])
+                found.append([t for _, t in hits])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int32()), pa.array(sizes, ints), pa.array(found, pa.list_(ints))], names=["doc_id", "n", "sizes", "terms"])
+
+    # the one pass over the texts: the sentences that hold terms, as numbers
+    matched = materialize(texts.mapInArrow(find, f"doc_id {kind}, n int, sizes array<int>, terms array<array<int>>"), "matched")
+    counted = matched.select(F.explode(F.array_distinct(F.flatten("terms"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row a term
+    df, n = {r["term"]: r["n"] for r in counted}, matched.count()
+    idf = [math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))]
+    mean = sum(idf) / len(idf) if idf else 1.0
+    rarity = {t: math.sqrt(x / mean) for t, x in zip(terms, idf)}
+    least = calibrate(sample, weights, rarity)
+    weighted = [[(s, x * rarity[t]) for s, x in weights[t]] for t in terms]
+    model = spark.sparkContext.broadcast((weighted, least))  # bounded by the learning sample
 
     def assign(batches):
-        weights, rarity, least = model.value
-        matcher = Matcher(weights)
+        weighted, least = model.value
         for batch in batches:
             rows, names, parts = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for s, x in sorted(shares(text, matcher, weights, rarity, least).items()):
+            for i, (n, sizes, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                counts = Counter(s for size, t in zip(sizes, found) if (s := belongs(t, size, weighted, least)) is not None)
+                for s, x in sorted(counts.items()):
                     rows.append(i)
                     names.append(s)
-                    parts.append(x)
+                    parts.append(x / n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(parts, pa.float64())], names=["doc_id", "subject", "share"])
 
-    return texts.mapInArrow(assign, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, subject string, share double")
+    return matched.mapInArrow(assign, f"doc_id {kind}, subject string, share double")
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = DOCUMENT_SHARE) -> DataFrame:
