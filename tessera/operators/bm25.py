@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import analysis
@@ -22,6 +23,8 @@ K1, B = 1.2, 0.75
 WEIGHTS = {"title": 3.0, "heading_path": 2.0, "text": 1.0}
 POOL = 500
 IDF_FLOOR = 1e-6
+#: More than scores that are equal to 9 decimals can differ.
+SLACK = 4e-9
 
 
 class Index:
@@ -82,7 +85,7 @@ def phrase_counts(index: Index, phrases: DataFrame) -> DataFrame:
 
 
 def parts(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
-    """phrase, doc, part, common: what a phrase adds to a document's score; common if more than half of the documents hold it, so that its idf is the floor."""
+    """phrase, doc, part: what a phrase adds to a document's score; if more than half of the documents hold it, its idf is the floor."""
     counts = phrase_counts(index, phrases)
     weight: Column = F.lit(0.0)
     for f in index.fields:
@@ -91,9 +94,9 @@ def parts(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIGH
     size = index.lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), (F.sum("n_terms") / F.count(F.lit(1))).alias("avgdl"))  # one row
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(size)).select("phrase", "avgdl", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"), (raw <= 0).alias("common"))
+    idf = df.crossJoin(F.broadcast(size)).select("phrase", "avgdl", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("n_terms") / F.col("avgdl"))
-    return tf.join(idf, "phrase").join(index.lengths, "doc").select("phrase", "doc", (F.col("idf") * F.col("f") * F.lit(k1 + 1.0) / (F.col("f") + norm)).alias("part"), "common")
+    return tf.join(idf, "phrase").join(index.lengths, "doc").select("phrase", "doc", (F.col("idf") * F.col("f") * F.lit(k1 + 1.0) / (F.col("f") + norm)).alias("part"))
 
 
 def _summed(phrases: DataFrame, found: DataFrame) -> DataFrame:
@@ -106,22 +109,24 @@ def scores(index: Index, phrases: DataFrame, weights: Mapping[str, float] = WEIG
 
 
 def best_scores(index: Index, phrases: DataFrame, k: int, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """Scores that hold the ``k`` best of each query, and not every document with a phrase that most documents hold.
+    """query_id, doc, score of documents that hold the ``k`` best of each query, without scoring all that a phrase holds.
 
-    Such a common phrase adds at most IDF_FLOOR (k1 + 1). Documents are first scored by the other phrases.
-    If the k-th of a query is above what its common phrases can add, only documents within that of the k-th
-    can be among the best, and only they get the common parts. Other queries are scored in full.
+    A query's k-th score is at least the k-th part of any of its phrases. Its phrases are put in order of the most
+    that each can add. A document whose last phrase in that order is p has at most its part of p and what the phrases before
+    can add, so it is taken from the postings of p only if that reaches the k-th score. Common phrases come first in the order
+    and give few documents or none; rare ones give all of theirs. Each phrase's list is cut by the least that any query asks of it before the
+    queries are joined. What is taken is then scored in full.
     """
     found = materialize(parts(index, phrases, weights), "parts")
-    rare, common = found.where("NOT common"), found.where("common")
-    main = _summed(phrases, rare)
-    at_most = phrases.join(common.select("phrase").distinct(), "phrase").groupBy("query_id").agg((F.sum("n") * F.lit(IDF_FLOOR * (K1 + 1) * 1.01)).alias("bound"))
-    kth = top_n(main, ["query_id"], [F.col("score").desc(), F.col("doc")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    safe = kth.join(at_most, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).where(F.col("kth") > F.col("bound") + 1e-9)
-    near = main.join(safe, "query_id").where(F.col("score") >= F.col("kth") - F.col("bound") - 1e-9).select("query_id", "doc", "score")
-    added = near.join(phrases, "query_id").join(common.select("phrase", "doc", "part"), ["phrase", "doc"]).select("query_id", "doc", (F.col("part") * F.col("n")).alias("score"))
-    full = _summed(phrases.join(safe.select("query_id"), "query_id", "left_anti"), found)
-    return near.unionByName(added).groupBy("query_id", "doc").agg(F.sum("score").alias("score")).unionByName(full)
+    top = found.groupBy("phrase").agg(F.max("part").alias("top"))
+    kth = top_n(found, ["phrase"], [F.col("part").desc()], k).where(F.col("rank") == k).select("phrase", F.col("part").alias("kth"))
+    rows = phrases.join(top, "phrase").join(kth, "phrase", "left").select("query_id", "phrase", "n", (F.col("top") * F.col("n")).alias("most"), F.coalesce(F.col("kth") * F.col("n"), F.lit(0.0)).alias("kth"))
+    before = W.partitionBy("query_id").orderBy("most", "phrase").rowsBetween(W.unboundedPreceding, -1)
+    needed = F.max("kth").over(W.partitionBy("query_id")) - F.coalesce(F.sum("most").over(before), F.lit(0.0)) - F.lit(SLACK)
+    asked = materialize(rows.select("query_id", "phrase", "n", (needed / F.col("n")).alias("least")), "asked")
+    strong = found.join(asked.groupBy("phrase").agg(F.min("least").alias("_least")), "phrase").where(F.col("part") >= F.col("_least")).select("phrase", "doc", "part")
+    taken = asked.join(strong, "phrase").where(F.col("part") >= F.col("least")).select("query_id", "doc").distinct()
+    return taken.join(asked.select("query_id", "phrase", "n"), "query_id").join(found, ["phrase", "doc"]).groupBy("query_id", "doc").agg(F.sum(F.col("part") * F.col("n")).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, k: int, weights: Mapping[str, float] = WEIGHTS, stem: bool = True, query_id: str = "query_id", query: str = "query") -> DataFrame:
