@@ -29,11 +29,11 @@ class Loaded:
     counts: DataFrame
 
 
-def load(pages: DataFrame, chunks: DataFrame, batch: DataFrame, version: str = "", fetched_at: str = "") -> Loaded:
+def load(pages: DataFrame, chunks: DataFrame, batch: DataFrame, version: str = "", fetched_at: str = "", last_seq: int = -1) -> Loaded:
     """Upsert ``batch`` (chunks). Repeats within the batch count once (the greatest text wins); null ids and urls are left out.
 
     load_seq keeps the order of first insertion: old rows keep theirs, new ones follow in (url, ordinal) order
-    without being collected: the number is the old maximum plus a monotonic id.
+    without being collected: the number is the old maximum, at least ``last_seq``, plus a monotonic id.
     """
     old_pages, old = conform(pages, PAGES), conform(chunks, CHUNKS)
     new = conform(batch, CHUNKS).where("chunk_id IS NOT NULL AND url IS NOT NULL")
@@ -45,7 +45,7 @@ def load(pages: DataFrame, chunks: DataFrame, batch: DataFrame, version: str = "
     changed = F.lit(False)
     for c in COMPARED:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    top = old.agg(F.coalesce(F.max("load_seq"), F.lit(-1)).alias("_top"))
+    top = old.agg(F.greatest(F.coalesce(F.max("load_seq"), F.lit(-1)), F.lit(last_seq)).alias("_top"))
     state = joined.withColumn("change", F.when(F.col("_seq").isNull(), "inserted").when(changed, "updated").otherwise("same"))
     ordered = state.where("change = 'inserted'").repartitionByRange("url", "ordinal").sortWithinPartitions("url", "ordinal", "chunk_id").crossJoin(F.broadcast(top))
     # written, as the ranges come from a sample: read twice, the numbers would differ

@@ -203,9 +203,17 @@ def test_files(spark, tmp_path):
 def test_stream(spark, tmp_path):
     d = str(tmp_path)
     files.write_jsonl(spark.createDataFrame([_chunk("c1", "u1", "one"), _chunk("c2", "u1", "two", ordinal=1)], CH), f"{d}/in")
-    for expected in ([("c1", "one"), ("c2", "two")],):
-        upsert_stream(spark.readStream.schema(files.CHUNKS).json(f"{d}/in"), f"{d}/out", f"{d}/cp").awaitTermination()
-        assert col(read_corpus(spark, f"{d}/out")[1], "chunk_id", "text") == expected
+    stream = lambda: upsert_stream(spark.readStream.schema(files.CHUNKS).json(f"{d}/in"), f"{d}/out", f"{d}/cp").awaitTermination()
+    stream()
+    assert col(read_corpus(spark, f"{d}/out")[1], "chunk_id", "text") == [("c1", "one"), ("c2", "two")]
+    # a page is delivered again, a chunk moves to another page, others stay where they are
+    spark.createDataFrame([_chunk("c2", "u9", "two"), _chunk("c3", "u1", "three")], CH).withColumn("load_seq", F.lit(None).cast("long")).write.mode("append").json(f"{d}/in")
+    stream()
+    pages, chunks = read_corpus(spark, f"{d}/out")
+    assert col(chunks, "chunk_id", "url") == [("c2", "u9"), ("c3", "u1")] and col(pages, "url") == [("u1",), ("u9",)]
+    seq = {r["chunk_id"]: r["load_seq"] for r in chunks.collect()}
+    assert seq["c2"] < seq["c3"]
+    assert col(read_corpus(spark, f"{d}/out", 0)[1], "chunk_id") == [("c1",), ("c2",)]
 
 
 def test_stub_phrase_anywhere(spark):
