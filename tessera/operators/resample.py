@@ -1,8 +1,9 @@
 """Bootstrap intervals: paired systems under re-drawn judgments, and ratios of sums.
 
-Draws are rows of spark.range, computed in Arrow batches; each draw has a generator of its own seeded by
-(seed, draw), so results don't depend on partitions. What every draw needs, the judged query set, is
-broadcast, and its size is checked first: judgments are made by hand, so it is small by nature.
+The judged queries are cut into blocks and the draws into ranges; a task makes a range of draws for one block and gives
+sums, so no judgments are collected or broadcast and there is no limit on their number. What a draw shares, its
+re-grade matrix and how many queries fall to each block, comes from a generator seeded by (seed, draw) in every task; what is
+a block's own from one seeded by (seed, draw, block). Results don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -12,68 +13,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
+
 #: Draws and seed of the paired and the ratio bootstrap.
 DRAWS, SEED, RATIO_SEED = 4000, 20260908, 0
 METRICS = ("recall_5", "recall_5_share", "recall_10", "recall_10_share", "mrr", "ndcg_10")
-#: Judgments and ranked units that are broadcast at most; beyond it the call fails instead of collecting.
-MOST_ROWS = 2_000_000
-#: (query, draw) pairs of the distributed ratio bootstrap are never stored: they are summed where they are made.
+#: Judgments of a block, about.
+BLOCK_JUDGMENTS = 200_000
 _DISCOUNT = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(2, 12)))])
 
 
-def _bounded(df: DataFrame, most: int):
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} rows would be broadcast")
-    return df.toPandas()
-
-
-def paired_draws(run: DataFrame, qrels: DataFrame, queries: DataFrame, transitions: DataFrame, draws: int = DRAWS, seed: int = SEED, most_rows: int = MOST_ROWS) -> DataFrame:
+def paired_draws(run: DataFrame, qrels: DataFrame, queries: DataFrame, transitions: DataFrame, draws: int = DRAWS, seed: int = SEED, block_judgments: int = BLOCK_JUDGMENTS) -> DataFrame:
     """draw, system, category ('all' too), metric, value.
 
     In each draw the rows of the re-grade matrix are drawn from a Dirichlet over ``transitions`` (original, g0,
     g1, g2) plus one, every judgment is re-graded once for all systems, and queries are resampled once a group for
-    all systems, so differences stay paired. Shares of the ceiling skip queries without a relevant unit.
+    all systems, so differences stay paired. How many of a group's draws fall to each block is multinomial, which makes resampling within
+    blocks the same as over all queries. Shares of the ceiling skip queries without a relevant unit.
     """
     spark = run.sparkSession
-    judged = _bounded(qrels.select("query_id", "unit", "grade"), most_rows)
-    asked = _bounded(queries.select("query_id", F.coalesce("category", F.lit("?")).alias("category")).join(qrels.select("query_id").distinct(), "query_id", "left_semi"), most_rows)
-    asked = asked.sort_values("query_id").reset_index(drop=True)
-    judged = judged.sort_values(["query_id", "unit"]).reset_index(drop=True)
-    q_of = {q: i for i, q in enumerate(asked["query_id"])}
-    key_of = {(q, u): i for i, (q, u) in enumerate(zip(judged["query_id"], judged["unit"]))}
-    q_key, grade = judged["query_id"].map(q_of).to_numpy(np.int64), judged["grade"].to_numpy(np.int64)
-    ranked = _bounded(run.select("system", "query_id", "unit", "rank").join(qrels.select("query_id", "unit").distinct(), ["query_id", "unit"], "left_semi"), most_rows)
-    systems = sorted(set(run.select("system").distinct().toPandas()["system"]))
-    listed = {s: r for s, r in ranked.groupby("system")}
-    runs = {s: (np.array([key_of[p] for p in zip(listed[s]["query_id"], listed[s]["unit"])], np.int64), listed[s]["rank"].to_numpy(np.int64)) if s in listed else (np.empty(0, np.int64), np.empty(0, np.int64)) for s in systems}
-    groups = {"all": np.arange(len(asked))} | {str(c): np.nonzero((asked["category"] == c).to_numpy())[0] for c in sorted(asked["category"].unique())}
-    counts = np.zeros((3, 3))
+    judged = qrels.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("unit", "grade"))).alias("judged"))
+    listed = run.join(qrels.select("query_id", "unit").distinct(), ["query_id", "unit"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("system", "rank", "unit"))).alias("listed"))
+    n_blocks = max(1, -(-qrels.count() // block_judgments))
+    asked = queries.select("query_id", F.coalesce("category", F.lit("?")).alias("category")).join(judged, "query_id").join(listed, "query_id", "left")
+    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")), "judged")
+    systems = sorted(r["system"] for r in run.where("system IS NOT NULL").select("system").distinct().collect())  # a handful
+    sizes: dict[str, np.ndarray] = {"all": np.zeros(n_blocks, np.int64)}
+    for r in sorted(asked.groupBy("block", "category").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["category"], r["block"])):  # blocks times categories
+        for name in ("all", r["category"]):
+            sizes.setdefault(name, np.zeros(n_blocks, np.int64))[r["block"]] += r["n"]
+    base = np.zeros((3, 3))
     for r in transitions.collect():  # three rows
-        counts[int(r["original"])] = [r["g0"], r["g1"], r["g2"]]
-    shared = spark.sparkContext.broadcast((q_key, grade, runs, groups, counts, len(asked)))
-
-    def run_batches(batches):
-        q_key, grade, runs, groups, counts, n_q = shared.value
-        names, systems = list(groups), list(runs)
-        for batch in batches:
-            for draw in batch.column(0).to_pylist():
-                rng = np.random.default_rng(np.random.SeedSequence([seed, draw]))
-                steps = np.stack([rng.dirichlet(row + 1.0) for row in counts]).cumsum(1)
-                regraded = np.minimum((rng.random(len(grade))[:, None] > steps[grade]).sum(1), 2)
-                # systems x metrics x queries, and how often each group draws each query: one product gives all means
-                of = [scores_of(*runs[s], regraded, q_key, n_q) for s in systems]
-                values = np.array([[scores[m] for m in METRICS] for scores in of]).reshape(len(systems), len(METRICS), n_q)
-                times = np.stack([np.bincount(at[rng.integers(0, len(at), len(at))], minlength=n_q) if len(at) else np.zeros(n_q) for at in groups.values()])
-                known = ~np.isnan(values)
-                total, weight = np.where(known, values, 0.0) @ times.T, known.astype(float) @ times.T
-                mean = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
-                s, m, g = (x.ravel() for x in np.indices(mean.shape))
-                pick = lambda labels, at: pa.array(labels, pa.string()).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), draw), pa.int64()), pick(systems, s), pick(names, g), pick(METRICS, m), pa.array(mean.ravel())], names=["draw", "system", "category", "metric", "value"])
-
-    parts = max(1, min(draws, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, draws, 1, parts).mapInArrow(run_batches, "draw long, system string, category string, metric string, value double")
+        base[int(r["original"])] = [r["g0"], r["g1"], r["g2"]]
+    ranges = max(1, min(draws, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def some(table: pa.Table) -> pa.Table:
+        block, part = table.column("block")[0].as_py(), table.column("part")[0].as_py()
+        rows = sorted(table.select(["query_id", "category", "judged", "listed"]).to_pylist(), key=lambda r: r["query_id"])
+        q_key = np.repeat(np.arange(len(rows)), [len(r["judged"]) for r in rows])
+        grade = np.array([j["grade"] for r in rows for j in r["judged"]], np.int64)
+        place = {(i, u): n for n, (i, u) in enumerate((i, j["unit"]) for i, r in enumerate(rows) for j in r["judged"])}
+        hits = [(x["system"], place[i, x["unit"]], x["rank"]) for i, r in enumerate(rows) for x in r["listed"] or []]
+        runs = [(np.array([k for s, k, _ in hits if s == name], np.int64), np.array([r for s, _, r in hits if s == name], np.int64)) for name in systems]
+        members = [np.array([i for i, r in enumerate(rows) if name in ("all", r["category"])], np.int64) for name in sizes]
+        out: list[tuple] = []
+        for draw in range(part * draws // ranges, (part + 1) * draws // ranges):
+            shared, own = np.random.default_rng([seed, draw]), np.random.default_rng([seed, draw, block + 1])
+            steps = np.stack([shared.dirichlet(row + 1.0) for row in base]).cumsum(1)
+            quota = [shared.multinomial(n.sum(), n / n.sum())[block] for n in sizes.values()]
+            regraded = np.minimum((own.random(len(grade))[:, None] > steps[grade]).sum(1), 2)
+            of = [scores_of(*r, regraded, q_key, len(rows)) for r in runs]
+            # systems x metrics x queries, and how often each group draws each query: one product gives all sums
+            values = np.array([[scores[m] for m in METRICS] for scores in of]).reshape(len(systems), len(METRICS), len(rows))
+            times = np.stack([np.bincount(at[own.integers(0, len(at), n)], minlength=len(rows)) if len(at) else np.zeros(len(rows)) for at, n in zip(members, quota)])
+            known = ~np.isnan(values)
+            out.append((np.where(known, values, 0.0) @ times.T, known.astype(float) @ times.T))
+        total, weight = (np.stack([o[i] for o in out]) if out else np.zeros((0, len(systems), len(METRICS), len(sizes))) for i in (0, 1))
+        d, s, m, g = (x.ravel() for x in np.indices(total.shape))
+        pick = lambda labels, at: pa.array(list(labels), pa.string()).take(pa.array(at))
+        return pa.table({"draw": pa.array(d + part * draws // ranges, pa.int64()), "system": pick(systems, s), "category": pick(sizes, g), "metric": pick(METRICS, m), "total": pa.array(total.ravel()), "weight": pa.array(weight.ravel())})
+
+    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    sums = spread.groupBy("block", "part").applyInArrow(some, "draw long, system string, category string, metric string, total double, weight double")
+    out = sums.groupBy("draw", "system", "category", "metric").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))
+    return out.select("draw", "system", "category", "metric", F.when(F.col("w") > 0, F.col("t") / F.col("w")).otherwise(0.0).alias("value"))
 
 
 def scores_of(key: np.ndarray, rank: np.ndarray, grade: np.ndarray, q_key: np.ndarray, n_q: int) -> dict[str, np.ndarray]:

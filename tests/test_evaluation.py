@@ -86,8 +86,12 @@ def test_bootstrap(spark):
     mid = {r["metric"]: r["mid"] for r in resample.intervals(draws.where("system = 'a' AND category = 'all'"), ["metric"]).collect()}
     m = metrics.summarize(metrics.per_query(args[0], args[1], q)).where("system = 'a' AND category = 'all'").first()
     assert abs(mid["ndcg_10"] - m["ndcg_10"]) < 0.08 and abs(mid["recall_5"] - m["recall_5"]) < 0.12
-    with pytest.raises(ValueError):
-        resample.paired_draws(*args, draws=1, most_rows=5)
+    blocks = resample.paired_draws(*args, draws=200, seed=3, block_judgments=20)  # five blocks of queries give what one gives
+    assert blocks.count() == 200 * 3 * 3 * 6
+    cut = {r["metric"]: r["mid"] for r in resample.intervals(blocks.where("system = 'a' AND category = 'all'"), ["metric"]).collect()}
+    assert all(abs(cut[x] - mid[x]) < 0.05 for x in mid)
+    assert all(r["low"] == r["high"] == 0 for r in resample.paired_intervals(blocks, [("a", "b")]).collect())
+    assert resample.paired_draws(args[0], args[1].limit(0), *args[2:], draws=3).count() == 0
     ratios = spark.createDataFrame([("s", 2, 4)] * 30 + [("t", 1, 1)], "system string, supported int, total int")
     i = {r["system"]: r for r in resample.ratio_intervals(resample.ratio_draws(ratios, "system", draws=200), "system").collect()}
     assert i["s"]["low"] == i["s"]["high"] == 0.5 and i["t"]["low"] == 1.0
