@@ -16,20 +16,21 @@ link that a bucket shows, at any size, and there is no limit on a bucket.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, release
 from .arrow import int_lists
 
-#: Fixed value: what counts as a word of chunks, in lower case; in general letters, marks and digits of any script.
-CHUNK_WORD, WORD = "[a-z0-9_]+", r"[\p{L}\p{M}\p{N}_]+"
-#: Signature: bands times rows of a band. At a similarity of 0.7 a pair shares no band with a chance of 2e-5.
-BANDS, BAND_ROWS = 40, 4
+#: Fixed value: what words of chunks are made of, in lower case; in general letters, marks and digits of any script.
+CHUNK_WORD, WORD = "a-z0-9_", r"\p{L}\p{M}\p{N}_"
+#: Rows of a band, and the chance that a pair at the threshold shares no band, which gives the number of bands: 40 at 0.7, 21 at 0.8.
+BAND_ROWS, MISSED = 4, 2e-5
 #: Texts whose words take part, and the similarity of a link: the general rule of five words and 0.8.
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 1
 #: Rows of one side of a group that meet the whole group in one task.
@@ -88,8 +89,8 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def words(text: str | Column, word: str = WORD) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+def n_bands(threshold: float, rows: int) -> int:
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - min(threshold, 1 - 1e-9) ** rows)))
 
 
 def shingle_sets(word_lists: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +154,27 @@ def classes(items: DataFrame, item: str, text: str, min_words: int, word: str =
     A class is one sequence of words, named by 128 bits of its hash; null items and texts and texts of
     fewer than ``min_words`` words take no part. Repeated rows count once.
     """
-    rows = items.select(F.col(item).cast("string").alias("item"), words(F.col(text), word).alias("words")).where(F.col("item").isNotNull() & (F.size("words") >= max(1, min_words)))
-    named = rows.select("item", F.concat(F.hex(F.xxhash64("words")), F.lit("-"), F.hex(F.xxhash64(F.lit(11), "words"))).alias("class_id"), "words")
+    source = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text <> ''")
+
+    def run(batches):
+        import xxhash
+
+        if "\\p" in word:
+            import regex as engine
+        else:
+            import re as engine
+        find, digest = engine.compile(f"[{word}]+").findall, xxhash.xxh3_128_hexdigest
+        for batch in batches:
+            keep, named, texts = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = find(t.lower())
+                if len(found) >= max(1, min_words):
+                    keep.append(i)
+                    texts.append(" ".join(found))
+                    named.append(digest(texts[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(named, pa.string()), pa.array(texts, pa.string())], names=["item", "class_id", "words"])
+
+    named = materialize(source.mapInArrow(run, "item string, class_id string, words string"), "words")
     return named.select("item", "class_id").distinct(), named.groupBy("class_id").agg(F.first("words").alias("words"))
 
 
@@ -165,7 +185,7 @@ def signed(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lists = part.column(1).to_pylist()
+                lists = [t.split(" ") for t in part.column(1).to_pylist()]
                 h, o = shingle_sets(lists, shingle)
                 signature = _in_pieces(h, o, len(lists), bands * rows)
                 counts = np.bincount(o, minlength=len(lists))
@@ -206,14 +226,14 @@ def verified(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataF
     return similar.where(F.col("similarity") >= F.lit(threshold) - F.lit(1e-12)).select("a", "b", "similarity")
 
 
-def find(items: DataFrame, item: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, word: str = WORD, bands: int = BANDS, band_rows: int = BAND_ROWS) -> Found:
+def find(items: DataFrame, item: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, word: str = WORD, band_rows: int = BAND_ROWS) -> Found:
     """Classes, buckets and the links of their leaders, from which ``groups`` and ``similar_pairs`` go on.
 
     Null items and texts and texts below ``min_words`` take no part. An item with several texts is a
     member of several classes. Empty tables give empty results; further columns are ignored.
     """
     members, texts = classes(items, item, text, min_words, word)
-    signatures = materialize(signed(texts, shingle, bands, band_rows).withColumn("vid", F.monotonically_increasing_id()), "signatures")
+    signatures = materialize(signed(texts, shingle, n_bands(threshold, band_rows), band_rows).withColumn("vid", F.monotonically_increasing_id()), "signatures")
     placed = signatures.select("vid", F.explode("buckets").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min("vid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(placed.join(leaders, "bucket").select("bucket", "vid", "leader", "n"), "shared")
