@@ -17,7 +17,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,11 +144,28 @@ def best(queries: np.ndarray, query_ids: np.ndarray, entries: np.ndarray, entry_
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(values)
 
 
-def usable(column: str, dim: int) -> Column:
-    """A vector of ``dim`` finite values, not all zero."""
-    v = F.col(column)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+def directions(rows: DataFrame, dim: int) -> DataFrame:
+    """item, v, h, g of the usable rows: vectors of ``dim`` finite values, not all zero.
+
+    h and g are 128 bits of hash of the vector's direction: copies of a vector, and those scaled without rounding, are one class.
+    """
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            lists = batch.column(1)
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
+            x = matrix(batch.column(1), dim)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            batch, x = batch.filter(pa.array(good)), x[good].astype(np.float64)
+            if len(x):
+                x = x / np.abs(x).max(1, keepdims=True) + 0.0  # no negative zeros
+            digests = b"".join(xxhash.xxh3_128_digest(row.tobytes()) for row in x)
+            h = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["item", "v", "h", "g"])
+
+    return rows.mapInArrow(run, "item string, v array<float>, h long, g long")
 
 
 def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, item: str = "chunk_id", vec: str = "vec", reach: float = REACH, train_rows: int = TRAIN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -158,11 +176,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, item: str = "chunk_id
     vectors is as near as its nearest. Length does not matter. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    # copies of a vector, and those scaled without rounding, are one class; 128 bits of hash stand for its direction
-    rows = vectors.select(F.col(item).cast("string").alias("item"), F.col(vec).cast("array<float>").alias("v")).where(usable("v", dim) & F.col("item").isNotNull())
-    top = F.array_max(F.transform("v", lambda x: F.abs(x))).cast("double")
-    rows = rows.withColumn("d", F.transform("v", lambda x: x.cast("double") / top))
-    hashed = rows.select("item", "v", F.xxhash64("d").alias("h"), F.xxhash64(F.lit(7), "d").alias("g"))
+    hashed = materialize(directions(vectors.select(F.col(item).cast("string").alias("item"), F.col(vec).cast("array<float>").alias("v")).where("item IS NOT NULL"), dim), "hashed")
     firsts = top_n(hashed.select("h", "g", "item").distinct(), ["h", "g"], [F.col("item")], k + 1).groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("items"))
     values = hashed.groupBy("h", "g").agg(F.first("v").alias("v"))
     classes = materialize(in_order(values.join(firsts, ["h", "g"])), "classes")
