@@ -168,7 +168,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
         "dense_stats": "SELECT count(*) AS n_vectors, 64 AS dim, count(*) * 64 * 4 AS matrix_bytes FROM dense_index WHERE len(vec) = 64",
         "rerank_overlap": f"""WITH base0 AS (SELECT DISTINCT title AS query_id, chunk_id FROM chunks WHERE title IS NOT NULL), base AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS base_rank FROM base0),
 texts AS (SELECT chunk_id, max(coalesce(text, '')) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
-s AS (SELECT query_id, base_rank, chunk_id, list_distinct({_TOK.format('query_id')}) AS asked, list_distinct({_TOK.format('text')}) AS held FROM base JOIN texts USING (chunk_id) WHERE base_rank <= 100),
+s AS (SELECT query_id, base_rank, chunk_id, list_distinct({_TOK.format('query_id')}) AS asked, list_distinct({_TOK.format('text')}) AS held FROM base JOIN texts USING (chunk_id)),
 t AS (SELECT query_id, base_rank, chunk_id, round(CASE WHEN len(asked) = 0 THEN 0 ELSE len(list_intersect(asked, held)) / len(asked)::DOUBLE END, 9) AS score FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_rank, chunk_id)::INT AS rank FROM t) SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10""",
         "rrf_fusion": _fuse(100, False) + " SELECT query_id, r AS rank, chunk_id, page, score, best_rank FROM best WHERE r <= 10",
