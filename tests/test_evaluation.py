@@ -71,6 +71,18 @@ def test_agreement(spark):
     assert abs(p[3] - 0.4857) < 5e-5 and abs(p[9] - 0.5145) < 5e-5 and p[10] < 1e-4 and p[0] == 1.0
 
 
+def test_fisher_of_large_counts(spark):
+    """A fold of factorials a table took time as the square of the counts; counts beyond 2^31 broke."""
+    rows = [(50, 61, 70, 52), (70_000, 180_000, 293_000, 750_000), (1_000_000_000, 3_000_000_000, 1_000_000_000, 3_000_000_000), (30_000_000_000, 0, 0, 30_000_000_000), (None, 1, 1, 1)]
+    got = {r["a"]: r["p_value"] for r in reliability.fisher_exact(spark.createDataFrame(rows, "a long, b long, c long, d long")).collect()}
+    ways = {x: math.comb(111, x) * math.comb(122, 120 - x) for x in range(112)}
+    assert abs(got[50] - sum(w for w in ways.values() if w <= ways[50]) / sum(ways.values())) < 1e-12
+    z = (70_000 * 750_000 - 180_000 * 293_000) * math.sqrt(1_293_000 / (250_000 * 1_043_000 * 363_000 * 930_000))
+    assert abs(got[70_000] / math.erfc(abs(z) / math.sqrt(2)) - 1) < 0.02
+    assert got[1_000_000_000] == 1.0 and got[30_000_000_000] == 0.0 and got[None] is None
+    assert reliability._two_sided(1000, 1030, 1030, 1000) == reliability._two_sided(1030, 1000, 1000, 1030)
+
+
 def test_bootstrap(spark):
     rng = np.random.default_rng(0)
     qrels = [(f"q{i}", f"u{j}", int(rng.integers(0, 3))) for i in range(12) for j in range(8)]
