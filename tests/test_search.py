@@ -198,3 +198,20 @@ def test_random_draws(spark):
         lists = [tuple(c for q, _, c in got if q == f"q{i}") for i in range(20)]
         assert all(len(set(x)) == min(k, n) for x in lists) and (n < 30 or len(set(lists)) == 20)
         assert got == [tuple(r) for r in rerank.random_run(asked, items, k, 1).orderBy("query_id", "rank").collect()]
+
+
+def _common_and_rare(spark):
+    docs = spark.createDataFrame([(f"d{i:03}", "alpha" if i % 3 else "beta", "alpha beta gamma"[: 5 + i % 12] + f" w{i // 3} v{i % 7}") for i in range(90)], "chunk_id string, title string, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"alpha w{i} beta.gamma" if i % 2 else f"alpha w{i}") for i in range(20)] + [("none", "zz"), ("common", "alpha")], "query_id string, query string")
+    return bm25.build_index(docs, fields=["title", "text"], stem=False), queries
+
+
+def test_common_phrases_are_ranked_once(spark, monkeypatch):
+    """20 queries that share common phrases score those phrases' documents once for all, with the results of full scoring."""
+    index, queries = _common_and_rare(spark)
+    monkeypatch.setattr(bm25, "FEW", 10**6)
+    whole = sorted(map(tuple, bm25.search(index, queries, 7, stem=False).collect()))
+    monkeypatch.setattr(bm25, "FEW", 4)
+    assert sorted(map(tuple, bm25.search(index, queries, 7, stem=False).collect())) == whole and len(whole) == 21 * 7
+    lists = bm25._Lists(index, bm25.query_phrases(queries, stem=False), 7, bm25.WEIGHTS)
+    assert lists.tail.count() == 2 * 7 and lists.rare.count() == 20 * 3
