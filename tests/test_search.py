@@ -215,3 +215,14 @@ def test_common_phrases_are_ranked_once(spark, monkeypatch):
     assert sorted(map(tuple, bm25.search(index, queries, 7, stem=False).collect())) == whole and len(whole) == 21 * 7
     lists = bm25._Lists(index, bm25.query_phrases(queries, stem=False), 7, bm25.WEIGHTS)
     assert lists.tail.count() == 2 * 7 and lists.rare.count() == 20 * 3
+
+
+def test_pages_of_a_search_without_its_pool(spark, monkeypatch):
+    """The best pages of each query equal those of the whole pool, also where stubs fill the pool."""
+    index, queries = _common_and_rare(spark)
+    pages = spark.createDataFrame([(f"d{i:03}", f"p{i // 2}", "stub" if i % 5 < 2 else "ok") for i in range(80)], "chunk_id string, page string, status string")
+    monkeypatch.setattr(bm25, "FEW", 4)
+    for k, pool in ((3, 60), (4, 9)):
+        whole = fusion.collapse(bm25.search(index, queries, pool, stem=False).withColumnRenamed("doc", "chunk_id"), pages, k)
+        got = bm25.search_pages(index, queries, pages, k, pool, stem=False)
+        assert got.columns == whole.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
